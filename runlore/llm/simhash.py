@@ -7,8 +7,8 @@ thresholds come from a dynamic programme over estimated candidate counts. A part
 out every choice of t_i of its bits; what meets in a bucket is verified on the whole fingerprint.
 
 Equal fingerprints are one class before anything is joined, so copies cost nothing. A bucket of many classes is not
-paired out: its members are keyed under masks that leave out k of the bits outside the partition, and what shares such a
-key is linked to the least of it, as any two of them differ in at most these k bits.
+paired out: its members are keyed by all points within half of k bits, as two of them are linked exactly if they share
+one, and what shares a point is linked to the least of it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from runlore.llm.components import connected_components
 
 BITS = 64
 SEED = 42
-#: A bucket of up to so many fingerprints is compared pair by pair; larger ones go the masked way. Both are exact.
+#: A bucket of up to so many fingerprints is compared pair by pair; larger ones go by shared points. Both are exact.
 PAIRED = 48
 #: Shingles in a part, and parts of either prefix length: at a Jaccard similarity of 0.8 a part of PART shingles is equal
 #: with a chance of 0.8 ** PART, and of PARTS some is.
@@ -183,8 +183,15 @@ def plan_partitions(n: int, both: np.ndarray, k: int) -> list[tuple[list[int], i
     return best[1]
 
 
+FULL = (1 << BITS) - 1
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+
+
 def _mask(bits) -> int:
-    return int(np.array(sum(1 << b for b in bits), dtype=np.uint64).astype(np.int64))
+    return _signed(sum(1 << b for b in bits))
 
 
 def links(fps: DataFrame, k: int) -> DataFrame:
@@ -203,13 +210,15 @@ def links(fps: DataFrame, k: int) -> DataFrame:
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= k
     small = met.where(F.col("n") <= PAIRED).groupBy("j", "bucket").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = small.select(F.explode("fps").alias("src"), "fps").select("src", F.explode(F.filter("fps", lambda x: (x > F.col("src")) & near(x, F.col("src")))).alias("dst"))
-    # The masked way leaves out every k of the bits that the probe did not fix.
-    wide = [(j, _mask(set(range(BITS)) - set(out))) for j, (_, m) in enumerate(masks) for out in combinations([b for b in range(BITS) if not m >> b & 1], k)]
-    holes = spark.createDataFrame(wide, "j int, hole long").groupBy("j").agg(F.collect_list("hole").alias("holes"))
-    large = met.where(F.col("n") > PAIRED).select("j", "fp").join(F.broadcast(holes), "j")
-    large = large.select("fp", F.explode("holes").alias("hole")).select("fp", "hole", F.col("fp").bitwiseAND(F.col("hole")).alias("rest")).distinct()
-    least = large.groupBy("hole", "rest").agg(F.min("fp").alias("src"), F.max("fp").alias("top")).where("src < top").drop("top")
-    starred = large.join(least, ["hole", "rest"]).where("fp <> src").select("src", F.col("fp").alias("dst"))
+    # The wide way, without pairs. Two fingerprints that differ in 2r bits or fewer have a point within r bits of both,
+    # and all that have one are linked. An odd k leaves out one bit first.
+    free = [(0, range(BITS))] if k % 2 == 0 else [(1 << b, [x for x in range(BITS) if x != b]) for b in range(BITS)]
+    points = [(~hole & FULL, sum(1 << b for b in flips)) for hole, bits in free for r in range(k // 2 + 1) for flips in combinations(bits, r)]
+    around = F.array(*(F.struct(F.lit(_signed(h)).cast("long").alias("hole"), F.lit(_signed(f)).cast("long").alias("flip")) for h, f in points))
+    large = met.where(F.col("n") > PAIRED).select("fp").distinct()
+    large = large.select("fp", F.explode(around).alias("a")).select("fp", "a.hole", F.col("fp").bitwiseAND(F.col("a.hole")).bitwiseXOR(F.col("a.flip")).alias("point"))
+    least = large.groupBy("hole", "point").agg(F.min("fp").alias("src"), F.max("fp").alias("top")).where("src < top").drop("top")
+    starred = large.join(least, ["hole", "point"]).where("fp <> src").select("src", F.col("fp").alias("dst"))
     return pairs.unionByName(starred).distinct()
 
 
