@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from runlore.functions import variants as V
 from runlore.functions.text import ANY_LINE_END, lines_of
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON that a Python reader accepts and Spark's parser does not (repeated keys, NaN, infinities), written anew; null
     for lines that are torn for both."""

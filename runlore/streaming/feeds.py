@@ -68,9 +68,10 @@ def hourly_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return out.select(F.col("w.start").alias("hour"), "type", "n")
 
 
-def without_repeats(turns: DataFrame, value: str = "reasoning", silence_ms: int = 3_600_000) -> DataFrame:
-    """turns (run_id, step_key, value) without those whose value is that of the turn before them in their run. A run's
-    state is its last value, and goes after silence_ms without turns. Turns of a micro-batch are taken in step order."""
+def without_repeats(turns: DataFrame, value: str = "reasoning", silence_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
+    """turns (run_id, step_key, value, event_time) without those whose value is that of the turn before them in their run.
+    A run's state is its last value, and goes when the watermark is silence_ms past its last turn. Turns of a micro-batch
+    are taken in step order."""
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -85,10 +86,11 @@ def without_repeats(turns: DataFrame, value: str = "reasoning", silence_ms: int
                 kept.append((key[0], step, x))
             seen, last = True, x
         state.update((last,))
-        state.setTimeoutDuration(silence_ms)
+        latest = int(rows["event_time"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + silence_ms)
         yield pd.DataFrame(kept, columns=["run_id", "step_key", value])
 
-    return turns.groupBy("run_id").applyInPandasWithState(keep, f"run_id string, step_key long, {value} string", f"{value} string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.withWatermark("event_time", late).groupBy("run_id").applyInPandasWithState(keep, f"run_id string, step_key long, {value} string", f"{value} string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
