@@ -3,7 +3,7 @@
 Documents with equal texts are linked. A group of them is a star: each document is linked to its group, never to every
 other. Documents begin in shards of exactly equal counts, and in each round the groups count their members by shard and
 name the shard that most of them are in; documents elsewhere ask to move there. Moves between two shards are granted in
-equal numbers both ways, so no round changes a shard's count. What is left over is then laid in a line, shard by shard
+equal numbers both ways, documents without links filling in for those that ask, so no round changes a shard's count. What is left over is then laid in a line, shard by shard
 with each group together, and the line is cut into equal parts, which bounds the documents that the last cut moves.
 """
 
@@ -68,9 +68,20 @@ def moved(rows: DataFrame) -> DataFrame:
     wish = per.groupBy("g1", "g2").agg(F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"].alias("s"), F.sum("n").alias("all"), F.max("n").alias("most"))
     wish = wish.where("all > 1 and most < all").select("g1", "g2", (-F.col("s")).alias("to"))
     asks = written(rows.join(wish, ["g1", "g2"]).where("to <> shard").select("row", F.col("shard").alias("from"), "to"), "asks")
-    # Quotas: as many from a to b as from b to a; at most a row for each pair of shards.
+    alone = per.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all = 1").select("g1", "g2")
+    free = written(place_in_order(rows.join(alone, ["g1", "g2"]).select("row", "shard"), [F.xxhash64("row"), F.col("row")], "at", ["shard"]), "free")
+    # Quotas, at most a row for each pair of shards: as many from a to b as from b to a, and beyond that as many as b has
+    # documents without links to give back.
     flow = asks.groupBy("from", "to").agg(F.count("*").alias("n"))
-    quota = flow.join(flow.select(F.col("from").alias("to"), F.col("to").alias("from"), F.col("n").alias("back")), ["from", "to"]).select("from", "to", F.least("n", "back").alias("quota"))
-    place = place_in_order(asks.join(F.broadcast(quota), ["from", "to"]), [F.xxhash64("row"), F.col("row")], "at", ["from", "to"])
+    back = flow.select(F.col("from").alias("to"), F.col("to").alias("from"), F.col("n").alias("back"))
+    spare = free.groupBy(F.col("shard").alias("to")).agg(F.count("*").alias("spare"))
+    flow = flow.join(back, ["from", "to"], "left").join(spare, "to", "left").fillna(0, ["back", "spare"])
+    flow = flow.withColumn("over", F.greatest(F.col("n") - F.col("back"), F.lit(0)))
+    before = F.coalesce(F.sum("over").over(Window.partitionBy("to").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    flow = flow.withColumn("first", before).withColumn("given", F.greatest(F.lit(0), F.least("over", F.col("spare") - F.col("first"))))
+    flow = written(flow.withColumn("quota", F.least("n", "back") + F.col("given")), "flow")
+    place = place_in_order(asks.join(F.broadcast(flow.select("from", "to", "quota")), ["from", "to"]), [F.xxhash64("row"), F.col("row")], "at", ["from", "to"])
     granted = place.where("at < quota").select("row", "to")
-    return rows.join(granted, "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+    returned = flow.where("given > 0").select(F.col("to").alias("shard"), F.col("from").alias("to"), "first", "given")
+    swapped = free.join(F.broadcast(returned), "shard").where("at >= first and at < first + given").select("row", "to")
+    return rows.join(granted.unionByName(swapped), "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")

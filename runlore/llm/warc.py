@@ -79,13 +79,13 @@ def page_of(name: str) -> int | None:
 class BundleWriter:
     """Frames of records, and the seek table at the end."""
 
-    def __init__(self, uri: str):
-        self.out, self.frames, self.open = BlobWriter(uri), [], bytearray()
+    def __init__(self, uri: str, frame_bytes: int = FRAME_BYTES):
+        self.out, self.frames, self.open, self.frame_bytes = BlobWriter(uri), [], bytearray(), frame_bytes
         self.pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
 
     def add(self, record: bytes) -> tuple[int, int]:
         """Frame number and offset within it."""
-        if self.open and len(self.open) + len(record) > FRAME_BYTES:
+        if self.open and len(self.open) + len(record) > self.frame_bytes:
             self.flush()
         place = (len(self.frames), len(self.open))
         self.open += record
@@ -140,12 +140,12 @@ def with_sources(pages: DataFrame, least_bytes: int) -> DataFrame:
     return rows.join(holders, "sha1", "left").withColumn("revisit", F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")))
 
 
-def write_bundles(pages: DataFrame, out_dir: str, least_bytes: int = 0) -> DataFrame:
+def write_bundles(pages: DataFrame, out_dir: str, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write a WARC record for each row of pages (page_id, url, html) and the map of record ids, and return the map.
 
     Of records with equal payloads of least_bytes or more, that with the largest page_id is a response and the others
     revisit it; rows that repeat the largest page_id are responses too. A null html is an empty payload; a null url an
-    empty one; a null page_id is less than any other and its record id ends in none (a group of null ids alone: all
+    empty one; a record longer than frame_bytes is a frame of its own; a null page_id is less than any other and its record id ends in none (a group of null ids alone: all
     responses). Line ends in urls are percent-encoded. Other columns are ignored. An empty table gives an empty map.
     """
     spark = pages.sparkSession
@@ -161,7 +161,7 @@ def write_bundles(pages: DataFrame, out_dir: str, least_bytes: int = 0) -> DataF
                     if bundle is not None:
                         bundle.close()
                     file, files = f"{out_dir}/warc/part-{part:06d}-{files:04d}.warc.zst", files + 1
-                    bundle = BundleWriter(file)
+                    bundle = BundleWriter(file, frame_bytes)
                 data = warc_record(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), holder, revisit)
                 frame, offset = bundle.add(data)
                 for column, x in zip(made, (record_id(page_id), page_id, file, frame, offset, len(data), "revisit" if revisit else "response", holder if revisit else None), strict=True):
