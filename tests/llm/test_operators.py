@@ -320,9 +320,9 @@ def test_shared_parts(spark, none):
         near.append(2 * i)
     common = " ".join(text(60))
     rows += [(100 + i, common + " " + " ".join(text(200))) for i in range(10)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shared_parts=True).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
     assert all(got[i + 1] == i for i in near) and all(got[100 + i] == 100 + i for i in range(10))
-    assert simhash.near_duplicates(none, shared_parts=True).count() == 0
+    assert simhash.near_duplicates(none, similarity=0.8).count() == 0
 
 
 # 7
