@@ -171,3 +171,38 @@ def test_streams(spark, tmp_path):
     turns = stream().where("type = 'main_step'").selectExpr("run_id", "step_key", "event_time", "try_variant_get(payload, '$.reasoning', 'string') reasoning")
     assert [(r["step_key"], r["reasoning"]) for r in feeds.drained(feeds.without_repeats(turns), "m3").orderBy("step_key").collect()] == [(0, "x"), (2, "y")]
     assert feeds.drained(feeds.run_sessions(stream()), "m4", "complete").first()["completed"] is True
+
+
+def test_files(spark, tmp_path):
+    from runlore.sources.files import read_artifacts, read_taskset
+
+    for path, text in (("memory/b.md", NOTE), ("memory/MEMORY.md", "i"), ("skills/s1/SKILL.md", "---\nname: S\ndescription: d\n---\n")):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    index = read_artifacts(spark, f"file://{tmp_path}/memory", f"file://{tmp_path}/skills")
+    assert [(r["kind"], r["scope"], r["name"]) for r in index.orderBy("position").collect()] == [("index", "project", "MEMORY"), ("memory", "project", "My Note"), ("skill", "global", "S")]
+    lines = render.index_lines(index.withColumn("c", F.lit(1)), ["c"]).first()["text"].split("\n")
+    assert len(lines) == 3 and lines[0].startswith("- [index] MEMORY: (no description) (file:") and lines[1].startswith("- [memory] My Note: d (")
+    good = write_lines(tmp_path, "t.json", ['{"tasks": [{"id": "a", "reference": "x"}, {"id": "b", "project": {}}]}'])
+    assert [tuple(r) for r in read_taskset(spark, good).select("id", "reference").orderBy("id").collect()] == [("a", "x"), ("b", "")]
+    for bad in ('[{"id": "a"}, {"id": "a"}]', '[{"id": ""}]', '[{"id": "a", "project": 3}]', '{"x": 1}'):
+        with pytest.raises(Exception, match="task"):
+            read_taskset(spark, write_lines(tmp_path, "bad.json", [bad])).collect()
+
+
+def test_workflows(spark, tmp_path):
+    from runlore.plans import workflows
+    from runlore.sources.traces import read_traces
+
+    msg = {"type": "user", "message": {"role": "user", "content": "key AKIA" + "Z" * 16}}
+    write_lines(tmp_path / "projects" / "p", "s.jsonl", [msg])
+    text = workflows.redacted_corpus(spark, f"file://{tmp_path}/projects").first()["text"]
+    assert text == "[0] session s\nsession=s\nuser: key [REDACTED:aws_access_key_id]"
+    events = read_traces(spark, write_lines(tmp_path / "t", "a.jsonl", [event("r", 0, "run_start", {"meta": {"project_dir": "/a/b", "transcripts": 1}}), event("r", 1, "result", {"output": {}})]))
+    shown = workflows.run_payload(events).first()
+    assert shown["project"] == "b" and shown["plan"] == "(this run's plan proposed no candidates)"
+    texts = spark.createDataFrame([("c", 0, "t")], "corpus string, transcript_index int, text string")
+    assert workflows.score_runs(events, texts, "c").first()["TF"] == 5.0
+    with pytest.raises(ValueError):
+        workflows.score_runs(events, texts.withColumn("text", F.lit(" ")), "c")
+    assert workflows.redacted_instructions(spark.createDataFrame([("",), ("sk-" + "a" * 24,)], "text string")).orderBy("text").collect()[1]["text"] == "[REDACTED:api_key]"
