@@ -62,6 +62,8 @@ def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
     found = written(units(docs), "units")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "unit")
     first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    # Written, so that the join below has an exchange on either side and Spark can split a common line's partition.
+    first = written(first, "firsts")
     later = found.join(first, ["d1", "d2"]).withColumn("place", place).where("place <> first")
     later = later.select("doc_id", "key", "unit", "start", "size", "words", F.col("first.doc_id").alias("keeper"))
     # One document's units meet here, which are no more than its text has; equal rows are one document.
