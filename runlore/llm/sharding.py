@@ -66,9 +66,10 @@ def moved(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
     # The shard that most of a group is in, the least of equals; groups of one have no wish.
     wish = per.groupBy("g1", "g2").agg(F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"].alias("s"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    wish = wish.where("all > 1 and most < all").select("g1", "g2", (-F.col("s")).alias("to"))
+    # Written, so that the join with a large group's rows has an exchange on either side and can be split.
+    wish = written(wish.where("all > 1 and most < all").select("g1", "g2", (-F.col("s")).alias("to")), "wishes")
     asks = written(rows.join(wish, ["g1", "g2"]).where("to <> shard").select("row", F.col("shard").alias("from"), "to"), "asks")
-    alone = per.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all = 1").select("g1", "g2")
+    alone = written(per.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all = 1").select("g1", "g2"), "alone")
     free = written(place_in_order(rows.join(alone, ["g1", "g2"]).select("row", "shard"), [F.xxhash64("row"), F.col("row")], "at", ["shard"]), "free")
     # Quotas, at most a row for each pair of shards: as many from a to b as from b to a, and beyond that as many as b has
     # documents without links to give back.
