@@ -316,6 +316,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_distance: int = 2, simi
         candidates = written(edges.unionByName(shared_part_links(found)).distinct(), "candidates")
         edges = similar_links(docs, rows, candidates, words, similarity)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
-    of = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return rows.join(written(of.join(least, "root").select("fp", "root", "component_id"), "classes"), "fp")
