@@ -24,17 +24,12 @@ from pyspark.sql import functions as F
 
 from runlore.llm.common import session_setup, text_key, written
 from runlore.llm.components import connected_components
+from runlore.llm.similar_sets import set_nodes, set_rows, similar_components
 
 BITS = 64
 SEED = 42
 #: A bucket of up to so many fingerprints is compared pair by pair; larger ones go by shared points. Both are exact.
 PAIRED = 48
-#: Shingles in a part, and parts of either prefix length: at a Jaccard similarity of 0.8 a part of PART shingles is equal
-#: with a chance of 0.8 ** PART, and of PARTS some is.
-PART, PARTS = 4, 16
-#: Differing bits of both fingerprints together (of 128) up to which texts that share a part are linked: what texts with
-#: a Jaccard similarity of 0.8 differ in, 19.4 bits on average, and two standard deviations of 4.1 more.
-SHARED_BITS = 28
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 15
@@ -64,42 +59,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def second_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Other 64 bits for each shingle."""
-    x = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ (x >> np.uint64(29))
-
-
-def part_keys(hashes: np.ndarray) -> list[int]:
-    """Digests of small parts of a text's set of shingles. A part is what one prefix of the hashes selects, about PART
-    shingles, so texts with most shingles in common have some parts equal. Prefixes are of two lengths, next to each other,
-    so that texts of nearly equal size share one."""
-    own = np.unique(hashes)
-    level = np.log2(max(1.0, len(own) / PART))
-    out = []
-    for bits in {int(np.floor(level)), int(np.ceil(level))}:
-        edges = np.arange(min(PARTS, 1 << bits) + 1, dtype=object) << (BITS - bits)
-        cuts = [int(np.searchsorted(own, np.uint64(e))) if e < 1 << BITS else len(own) for e in edges]
-        for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a:
-                out.append(xxhash.xxh64_intdigest(own[a:b].tobytes(), (bits << 8) + j) - (1 << 63))
-    return out
-
-
-def fingerprints(docs: DataFrame, words: int, parts: bool = False) -> DataFrame:
-    """doc_id, key (of the text), fp: one row for each row of docs. Null or blank text: fingerprint zero. parts: also fp2,
-    a second fingerprint, and parts, the digests of part_keys()."""
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, key (of the text), fp: one row for each row of docs. Null or blank text: fingerprint zero."""
     session_setup(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(fingerprint(h), fingerprint(second_hashes(h)) if parts else 0, part_keys(h) if parts else []) for h in (shingle_hashes(t.as_py(), words) for t in b.column(2))]
-            fp, fp2, keys = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [b.column(0), b.column(1), pa.array(fp, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))] if parts else columns, ["doc_id", "key", "fp", "fp2", "parts"][: 5 if parts else 3])
+            fp = [fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long" + ", fp2 long, parts array<long>" * parts)
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -222,80 +192,6 @@ def links(fps: DataFrame, k: int) -> DataFrame:
     return pairs.unionByName(starred).distinct()
 
 
-#: Texts that share a part are compared pair by pair up to so many; of more, each with two of them.
-SHARING = 8
-
-
-def shared_part_links(rows: DataFrame) -> DataFrame:
-    """src, dst: edges between fingerprints of rows that share a part and differ in at most SHARED_BITS of 128 bits. Of a
-    part that many share, each is set against the least and the greatest fingerprint; as every text has many parts, each
-    with other sharers, it meets many of its like, but a common part gives no pairs of all with all."""
-    keyed = written(rows.select("fp", "fp2", F.explode("parts").alias("part")).distinct(), "parts")
-    one = F.struct("fp", "fp2")
-    groups = keyed.groupBy("part").agg(F.count("*").alias("n"), F.min(one).alias("least"), F.max(one).alias("most")).where(F.col("least.fp") < F.col("most.fp"))
-    met = written(keyed.join(groups, "part"), "sharers")
-    bits = lambda x, y: F.bit_count(x["fp"].bitwiseXOR(y["fp"])) + F.bit_count(x["fp2"].bitwiseXOR(y["fp2"]))
-    close = lambda others, own: F.transform(F.filter(others, lambda x: (x["fp"] != own["fp"]) & (bits(x, own) <= SHARED_BITS)), lambda x: x["fp"])
-    small = met.where(F.col("n") <= SHARING).groupBy("part").agg(F.collect_list(one).alias("all"))
-    small = small.select(F.explode("all").alias("own"), "all").select(F.col("own.fp").alias("a"), F.explode(close(F.filter("all", lambda x: x["fp"] > F.col("own.fp")), F.col("own"))).alias("b"))
-    large = met.where(F.col("n") > SHARING).withColumn("own", one).select(F.col("fp").alias("a"), F.explode(close(F.array("least", "most"), F.col("own"))).alias("b"))
-    return small.unionByName(large).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-
-
-#: Slots of the filter that tells which texts' sets are asked for: a few hundred KB, whatever their number.
-SLOTS = 1 << 22
-
-
-def asked_slots(keys: DataFrame) -> np.ndarray:
-    """A bit for each slot that a key of keys falls into: at most SLOTS / 32768 rows come to the driver."""
-    slot = F.pmod(F.col("key"), F.lit(SLOTS))
-    found = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    out = np.zeros(SLOTS + (1 << 15), bool)
-    for r in found:
-        # Buckets count from 1 and hold values from 1 on; slot 0 is in bucket 0's last place.
-        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        first = (r["b"] - 1) * len(bits) + 1
-        at = np.flatnonzero(bits) + first
-        out[at[(at >= 0) & (at < len(out))]] = True
-        if r["b"] <= 0:
-            out[0] = True
-    return out
-
-
-def similar_links(docs: DataFrame, rows: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The candidates src, dst (fingerprints) whose texts' sets of shingles have at least that Jaccard similarity. A
-    fingerprint's text is that of its least document. Only the texts that are asked for are shingled and shuffled."""
-    nodes = candidates.select(F.col("src").alias("fp")).unionByName(candidates.select(F.col("dst").alias("fp"))).distinct()
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    reps = written(rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(place).alias("p")).select("fp", "p.doc_id", "p.key"), "reps")
-    asked = docs.sparkSession.sparkContext.broadcast(asked_slots(reps))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(1).to_numpy(zero_copy_only=False)
-            mine = pa.array(np.flatnonzero(asked.value[keys % SLOTS]))
-            own = b.take(mine)
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in own.column(2)]
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sets, pa.binary())], ["id", "own_key", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    made = texts.mapInArrow(run, "id long, own_key long, shingles binary")
-    sets = made.join(reps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key"))).select("fp", "shingles")
-    sets = written(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingles")
-    both = candidates.join(sets.select(F.col("fp").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("shingles").alias("b")), "dst")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                kept.append(common >= similarity * (len(one) + len(two) - common))
-            yield batch.filter(pa.array(kept, pa.bool_())).select(["src", "dst"])
-
-    return both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, max_distance: int = 2, similarity: float | None = None) -> DataFrame:
     """doc_id, key, fp, root (a fingerprint that stands for the component) and component_id (the least doc_id that linked
     fingerprints reach), one row for each row of docs.
@@ -303,19 +199,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_distance: int = 2, simi
     A null or blank text has fingerprint zero and links like any other. Fewer words than a shingle: the whole sequence
     is one. Null doc_ids take part and get a component, but are never its least unless all are null. Repeated rows and
     ties share their component. An empty table gives an empty one. Other columns are ignored.
-    similarity: link by the Jaccard similarity of the sets of shingles instead. At 0.8 fingerprints differ in up to 14
-    bits, at which no partition selects any more; so candidates are also texts with an equal small part of their
-    shingles and at most SHARED_BITS differing bits of two fingerprints, and every candidate is verified on whole sets.
-    Texts with equal fingerprints are not.
+    similarity: link by the Jaccard similarity of the sets of shingles instead, exactly (see similar_sets); max_distance
+    is not used then, and fp is a digest of the set, so that only equal sets are one without a comparison.
     """
-    found = written(fingerprints(docs, words, similarity is not None), "fingerprints")
-    rows = found.select("doc_id", "key", "fp")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    edges = links(classes, max_distance)
     if similarity is not None:
-        candidates = written(edges.unionByName(shared_part_links(found)).distinct(), "candidates")
-        edges = similar_links(docs, rows, candidates, words, similarity)
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
+        made = written(set_rows(docs, words, similarity), "sets")
+        rows = made.select("doc_id", "key", F.col("node").alias("fp"))
+        nodes = set_nodes(docs, made, words, similarity)
+        classes = nodes.select(F.col("node").alias("fp"), "least")
+        roots = similar_components(docs, nodes, words, similarity).withColumnRenamed("node", "fp")
+    else:
+        rows = written(fingerprints(docs, words), "fingerprints")
+        classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        roots = connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp")
     of = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return rows.join(written(of.join(least, "root").select("fp", "root", "component_id"), "classes"), "fp")
