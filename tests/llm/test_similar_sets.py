@@ -74,3 +74,13 @@ def test_all_ways_against_brute_force(spark, monkeypatch):
     for rounds in (0, 2):
         monkeypatch.setattr(similar_sets, "ROUNDS", rounds)
         assert components(spark, rows) == want
+
+
+def test_equal_fingerprints_of_different_sets(spark):
+    rng = np.random.default_rng(11)
+    tail = "\n".join([" ".join(text(rng, 11))] * 400)
+    rows = [(i, " ".join(text(rng, 300)) + "\n" + tail) for i in range(3)]
+    rows.append((3, " ".join(variant(rng, rows[1][1].split("\n")[0].split(), 2)) + "\n" + tail))
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows}) < 4
+    want = brute(rows)
+    assert want == {0: 0, 1: 1, 2: 2, 3: 1} and components(spark, rows) == want
