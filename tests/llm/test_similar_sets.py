@@ -84,3 +84,17 @@ def test_equal_fingerprints_of_different_sets(spark):
     assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows}) < 4
     want = brute(rows)
     assert want == {0: 0, 1: 1, 2: 2, 3: 1} and components(spark, rows) == want
+
+
+def test_repeated_lines_and_short_texts(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for more in (5, 10, 20):
+        lines = [" ".join(text(rng, 12)) for _ in range(17)]
+        rows += [(len(rows), "\n".join(lines)), (len(rows) + 1, "\n".join(lines + lines[3:4] * more))]
+    for n in (1, 4, 5, 8, 9, 14):
+        words = text(rng, n)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words, "end"])), (len(rows) + 2, " ".join(words[:-1]))]
+    rows.append((len(rows), None))
+    want = brute(rows)
+    assert want[1] == 0 and want[3] == 2 and want[5] == 4 and components(spark, rows) == want
