@@ -2,8 +2,8 @@
 
 A mask fixes some of the words of a window and ignores the others, so a seed still hits where a word was replaced. The
 hashes of all masked windows of the benchmark are joined with those of every document; each hit gives an alignment of an
-item with the document, which is verified word for word: the best stretch, at +1 for an equal word and -4 for another
-(so at least four words in five agree), must have enough equal words.
+item with the document, which is verified word for word: some window, in which at least four words in five agree, must
+have enough equal words. The masks miss no such window, wherever its words were replaced.
 
 The benchmark comes through the driver in blocks of a fixed number of words, each a broadcast of bounded size, and every
 document meets every block where it is read: no text is shuffled, whatever the benchmark's size.
@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 
 from runlore.llm.common import session_setup, text_key
 
-#: Fixed masks over a window of words; 0 ignores the word.
-MASKS = ["111010011", "1101000111", "1011001011", "111111"]
+#: Fixed masks over a window of words, by the equal words that count (more than 13 as 13); 0 ignores the word. Every window
+#: with so many, and four in five equal, is hit. For 13, a window without five equal words in a row and with seven or more
+#: others holds a shorter one that counts; up to 12, without four in a row it has at most three others. What is then left
+#: is hit by the other masks: the tests go through it.
+MASKS = {
+    1: ["1"], 2: ["11"], 3: ["11"], 4: ["1111", "11011", "11101", "10111"], 5: ["1111", "11011"], 6: ["1111", "111011"],
+    7: ["1111", "110110011"], 8: ["1111", "110110011"], **{n: ["1111", "1110111"] for n in range(9, 13)}, 13: ["11111", "111001101"],
+}
 #: Words of the benchmark in one broadcast block (about 60 bytes a word).
 BLOCK_WORDS = 400_000
 #: Bytes of text hashed at once, so that arrays stay small however long a text is.
@@ -97,11 +103,10 @@ class Block:
     def __init__(self, items: list[tuple[int, np.ndarray]], least: int):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        shortest = sorted({len(w) for w in self.words if least <= len(w) < max(map(len, MASKS))})
+        own = [MASKS[min(13, enough(len(w), least))] for w in self.words]
         self.tables: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
-        for mask in [*MASKS, *("1" * n for n in shortest if "1" * n not in MASKS)]:
-            whole = mask not in MASKS  # of items as short as that
-            hashes = [seeds(w, mask) if not whole or len(w) == len(mask) else np.empty(0, np.uint64) for w in self.words]
+        for mask in sorted({m for masks in own for m in masks}):
+            hashes = [seeds(w, mask) if mask in masks else np.empty(0, np.uint64) for w, masks in zip(self.words, own, strict=True)]
             flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
             item = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
             place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.empty(0, np.int32)
@@ -141,20 +146,34 @@ class Block:
         return out
 
 
+def enough(n: int, least: int) -> int:
+    """The equal words that count of an item of n words: least, or four fifths of a shorter item."""
+    return max(1, min(least, -(-4 * n // 5)))
+
+
 def best_stretch(words: np.ndarray, own: np.ndarray, at: int, lo: int, hi: int, least: int) -> tuple[int, int, int] | None:
-    """The stretch of words[lo:hi] that agrees best with an item laid at `at`, if it has enough equal words."""
+    """Of the windows of words[lo:hi] that agree in four words of five or more with an item laid at `at`, the one with the
+    most equal words (the shortest, first one of these), if it has enough."""
     if lo >= hi:
         return None
     equal = words[lo:hi] == own[lo - at : hi - at]
+    if equal.sum() < enough(len(own), least):
+        return None
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISS))])
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    same = int(equal[start:end].sum())
-    return (lo + start, lo + end, same) if same >= min(least, max(1, -(-4 * len(own) // 5))) else None
-
-
-def blocks(benchmark: DataFrame, least: int) -> Iterator[Block]:
+    same = np.concatenate([[0], np.cumsum(equal)])
+    # From each start the last end at which the sum is not below that at the start.
+    high = np.maximum.accumulate(total[::-1])[::-1]
+    ends = len(high) - 1 - np.searchsorted(high[::-1], total, "left")
+    count = same[ends] - same
+    # The same equal words end at the first end that has them: what follows them is not equal.
+    firsts = np.searchsorted(same, same[ends], "left")
+    best = np.flatnonzero(count == count.max())
+    start = int(best[np.argmin(firsts[best] - best)])
+    n = int(count[start])
+    return (lo + start, lo + int(firsts[start]), n) if n >= enough(len(own), least) else None
+
+
+def blocks(benchmark: DataFrame, overlap: int, least: int) -> Iterator[Block]:
     """The benchmark in blocks of bounded size; items of fewer than `least` words are left out."""
     items: list[tuple[int, np.ndarray]] = []
     size = 0
@@ -168,10 +187,10 @@ def blocks(benchmark: DataFrame, least: int) -> Iterator[Block]:
                 items.append((item_id, part))
                 size += len(part)
             if size >= BLOCK_WORDS:
-                yield Block(items, least)
+                yield Block(items, overlap)
                 items, size = [], 0
     if items:
-        yield Block(items, least)
+        yield Block(items, overlap)
 
 
 def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -214,7 +233,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, min_i
     out = docs.select(*names).withColumn("overlaps", F.array().cast(HITS))
     at = names.index("text")
     schema = out.schema
-    for block in blocks(benchmark, min_item):
+    for block in blocks(benchmark, min_overlap, min_item):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
