@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from runlore.folders import new_dir
 from runlore.functions.text import ANY_LINE_END, lines_of
 from runlore.operators.runs import DRAFT_TOOLS, READ_TOOLS, draft_cause, is_call
 from runlore.operators.timeline import feed
@@ -94,8 +95,18 @@ def without_repeats(turns: DataFrame, value: str = "reasoning", silence_ms: int
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream has now, as a table: for tests and for the batch-checked queries."""
+    """All that a stream has now, as a table: its batches are Parquet in the folder that driver and executors share, and no
+    row passes through the driver. In mode complete the last batch is the whole result."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    top = new_dir(spark, name)
+    done: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{top}/rows/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        done.append(path)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    paths = list(dict.fromkeys(done))[-1 if mode == "complete" else 0 :]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)

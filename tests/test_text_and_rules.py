@@ -206,3 +206,13 @@ def test_workflows(spark, tmp_path):
     with pytest.raises(ValueError):
         workflows.score_runs(events, texts.withColumn("text", F.lit(" ")), "c")
     assert workflows.redacted_instructions(spark.createDataFrame([("",), ("sk-" + "a" * 24,)], "text string")).orderBy("text").collect()[1]["text"] == "[REDACTED:api_key]"
+
+
+def test_drained_streams_are_files(spark, tmp_path):
+    from runlore.streaming import feeds
+
+    spark.range(10).write.parquet(f"file://{tmp_path}/a")
+    stream = lambda: spark.readStream.schema("id long").parquet(f"file://{tmp_path}/a")
+    out = feeds.drained(stream(), "files")
+    assert out.count() == 10 and len(out.inputFiles()) > 0 and not spark.catalog.tableExists("files")
+    assert feeds.drained(stream().groupBy().count(), "all", "complete").first()[0] == 10
