@@ -16,7 +16,7 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text that stays; spans as start:size of the original, in order, and who keeps them."""
-    out = substring_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
     spans = F.coalesce(F.array_join(F.transform("removed_spans", lambda x: F.concat_ws(":", x["start"], x["size"])), ","), F.lit(""))
     keepers = F.coalesce(F.array_join(F.transform("removed_spans", lambda x: x["keeper"].cast("string")), ","), F.lit(""))
     return out.select("doc_id", "text", "n_chars", F.coalesce(F.size("removed_spans"), F.lit(0)).cast("long").alias("n_removed"), "removed_words", spans.alias("spans"), keepers.alias("keepers"), F.col("removed_spans").isNotNull().alias("changed"))
@@ -81,32 +81,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_WORDS = r"len(regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+'))"
-
 ORACLES = {
-    "op1_substring_dedup": rf"""
-WITH line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL
-), placed AS (
-  SELECT *, 0 + coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS folded
-  FROM line
+    "op1_substring_dedup": r"""
+WITH piece AS (
+  SELECT doc_id, text, n_chars, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS pieces,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), start AS (
+  SELECT doc_id, words, unnest(range(0, len(words) - 49)) AS pos FROM piece WHERE len(words) >= 50
 ), unit AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS unit, {_WORDS.format('line')} AS words FROM placed WHERE folded <> ''
+  SELECT doc_id, pos, md5(array_to_string(words[pos + 1:pos + 50], ' ')) AS unit FROM start
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY folded ORDER BY doc_id, unit) AS place, first_value(doc_id) OVER (PARTITION BY folded ORDER BY doc_id, unit) AS keeper FROM unit
-), run AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE place > 1
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY unit) AS keeper FROM unit
+), later AS (
+  SELECT *, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50, -1) AS new FROM ranked WHERE keeper < doc_id
+), ranged AS (
+  SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM later
 ), gone AS (
-  SELECT * FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM run) WHERE total >= 40
+  SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b, arg_min(keeper, pos) AS keeper FROM ranged GROUP BY doc_id, no
+), length AS (
+  SELECT doc_id, list_transform(pieces, lambda x: length(x)) AS sizes, length(text) - coalesce(list_sum(list_transform(pieces, lambda x: length(x))), 0) AS lead FROM piece
+), span AS (
+  SELECT g.*, (lead + coalesce(list_sum(sizes[1:a]), 0))::BIGINT AS start, list_sum(sizes[a + 1:b])::BIGINT AS size FROM gone g JOIN length USING (doc_id)
 ), spans AS (
-  SELECT doc_id, count(*) AS n, sum(words) AS words, string_agg(start::BIGINT || ':' || length(line), ',' ORDER BY no) AS spans, string_agg(keeper::VARCHAR, ',' ORDER BY no) AS keepers FROM gone GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, sum(b - a) AS words, string_agg(start || ':' || size, ',' ORDER BY a) AS spans, string_agg(keeper::VARCHAR, ',' ORDER BY a) AS keepers FROM span GROUP BY doc_id
+), placed AS (
+  SELECT doc_id, unnest(pieces) AS piece, unnest(range(0, len(pieces))) AS pos FROM piece SEMI JOIN spans USING (doc_id)
 ), kept AS (
-  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.no) AS text FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.no = g.no GROUP BY p.doc_id
+  SELECT p.doc_id, string_agg(piece, '' ORDER BY pos) AS text FROM placed p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND p.pos >= a AND p.pos < b) GROUP BY p.doc_id
 ), final AS (
-  SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, s.* EXCLUDE (doc_id) FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN spans s ON d.doc_id = s.doc_id
+  SELECT p.doc_id, p.n_chars, CASE WHEN n IS NULL THEN p.text ELSE p.text[1:lead] || coalesce(k.text, '') END AS text, s.* EXCLUDE (doc_id)
+  FROM piece p JOIN length l USING (doc_id) LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)
 )
-SELECT doc_id, text, length(text)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS n_removed, coalesce(words, 0)::BIGINT AS removed_words, coalesce(spans, '') AS spans, coalesce(keepers, '') AS keepers, n IS NOT NULL AS changed FROM final""",
+SELECT doc_id, text, CASE WHEN n IS NULL THEN n_chars ELSE length(text) END::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS n_removed, coalesce(words, 0)::BIGINT AS removed_words, coalesce(spans, '') AS spans, coalesce(keepers, '') AS keepers, n IS NOT NULL AS changed FROM final""",
 }
 
 

@@ -1,113 +1,209 @@
-"""Substring dedup by line hashing (operator 1).
+"""Substring dedup by unit hashing (operator 1).
 
-Every line with words is a unit: normalised (A-Z lower-cased, white space folded), digested to 128 bits, and grouped by
-digest over the whole corpus. The occurrence that ranks first (by doc_id, then place in the document) is kept; runs of
-later ones go if together they have at least min_words words. Only digests, ranks and offsets are shuffled for the
-search; a common line is one partial aggregate.
+Units are normalised (A-Z lower-cased, white space folded), digested, and grouped by digest over the whole corpus; the
+occurrence in the document that ranks first is kept and the others go. A passage that is copied into another text seldom
+begins and ends with a line there, so a line or a sentence as the unit misses it: here a unit is a run of min_words words
+wherever it begins, across line ends too. A passage goes exactly if it is made of units that an earlier document has.
+
+Digests of all units would be several times the text. So units are searched in two steps, and the first only spares work:
+
+1. Of every min_words words the content selects one shingle (the least hash of those in it, as in winnowing). Equal units
+   select equal shingles, so a unit that two texts share has a selected shingle that two texts have.
+2. Only around such shingles are units digested, to 128 bits, and grouped.
+
+Texts that are equal as a whole are one text in both steps; the later copies go as a whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.llm.common import session_setup, text_key, written
+from runlore.llm.words import folded, run_hashes, word_hashes
+
+#: A word with the ASCII white space after it.
+_PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+SPANS = "array<struct<start:int,size:int,words:int,keeper:long>>"
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-#: ASCII white space: what separates words.
-BLANK = " \t\n\x0b\x0c\r"
-UNITS = "doc_id long, key long, unit int, start int, size int, words int, d1 long, d2 long"
-SPAN = "struct<start:int,size:int,words:int,keeper:long>"
 
+def selected(grams: np.ndarray, width: int) -> np.ndarray:
+    """Ascending places of the shingles that are the first least one of some width neighbours."""
+    if len(grams) < width:
+        return np.empty(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
+    least = np.empty(len(windows), np.int64)
+    for i in range(0, len(windows), 1 << 16):
+        least[i : i + (1 << 16)] = windows[i : i + (1 << 16)].argmin(1)
+    return np.unique(least + np.arange(len(windows)))
 
-def fold_line(line: str) -> list[bytes]:
-    """The words of a line as they are compared."""
-    return line.encode().translate(_LOWER_BYTES).split()
 
+def _sizes(min_words: int) -> tuple[int, int]:
+    """Words of a shingle, and shingles of a unit."""
+    size = max(1, min_words * 2 // 5)
+    return size, min_words - size + 1
 
-_LOWER_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+def _keyed(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")]
 
-def units(docs: DataFrame) -> DataFrame:
-    """The lines with words of every row: their number, offset and length in code points, words, and digest."""
+
+def selected_shingles(docs: DataFrame, min_words: int) -> DataFrame:
+    """h, key, again: the distinct selected shingles of every row's text; again if the text has the shingle twice."""
+    size, width = _sizes(min_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, keys, twice = [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = word_hashes(text.as_py())
+                if len(words) >= min_words:
+                    grams = run_hashes(words, size)
+                    own, times = np.unique(grams[selected(grams, width)], return_counts=True)
+                    found.append(own)
+                    keys.append(np.full(len(own), key, np.int64))
+                    twice.append(times > 1)
+            if found:
+                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(twice))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "key", "again"])
+
+    return docs.select(*_keyed(docs)[1:]).mapInArrow(run, "h long, key long, again boolean")
+
+
+def units_around(texts: DataFrame, min_words: int) -> DataFrame:
+    """d1, d2, doc_id, key, at: the units of each text (doc_id, key, text, shared: hashes of shingles) that hold one of its
+    shared shingles; at is the number of a unit's first word."""
+    size, width = _sizes(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in UNITS.split(", ")]
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                start = unit = 0
-                for line in (text or "").split("\n"):
-                    if words := fold_line(line):
-                        d = xxhash.xxh3_128_digest(b" ".join(words))
-                        row = (doc_id, key, unit, start, len(line), len(words), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
-                        for column, x in zip(out, row, strict=True):
-                            column.append(x)
-                        unit += 1
-                    start += len(line) + 1
-            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, UNITS)
-
-
-def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, key, n_units, spans: for each document with units that an earlier place has too, the spans to remove in
-    order, with the doc_id that keeps each."""
-    found = written(units(docs), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "unit")
-    first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
-    # Written, so that the join below has an exchange on either side and Spark can split a common line's partition.
-    first = written(first, "firsts")
-    later = found.join(first, ["d1", "d2"]).withColumn("place", place).where("place <> first")
-    later = later.select("doc_id", "key", "unit", "start", "size", "words", F.col("first.doc_id").alias("keeper"))
-    # One document's units meet here, which are no more than its text has; equal rows are one document.
-    each = later.distinct().groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("unit", "start", "size", "words", "keeper"))).alias("units"))
-    # A run: units whose numbers follow one another. Its total is set against min_words.
-    run = F.transform("units", lambda x, i: F.struct((x["unit"] - i).alias("run"), x["start"].alias("start"), x["size"].alias("size"), x["words"].alias("words"), x["keeper"].alias("keeper")))
-    each = each.select("doc_id", "key", F.explode(run).alias("u")).select("doc_id", "key", "u.*")
-    runs = each.groupBy("doc_id", "key", "run").agg(F.sum("words").alias("total"), F.collect_list(F.struct("start", "size", "words", "keeper")).alias("part")).where(F.col("total") >= min_words)
-    return runs.groupBy("doc_id", "key").agg(F.sort_array(F.flatten(F.collect_list("part"))).cast(f"array<{SPAN}>").alias("spans"))
-
-
-def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the lines at the spans and their line ends."""
-    gone = {s for s, _ in spans}
-    kept, start = [], 0
-    for line in text.split("\n"):
-        if start not in gone:
-            kept.append(line)
-        start += len(line) + 1
-    return "\n".join(kept)
-
-
-def dedup_lines(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """docs with text reduced to what no earlier place has, n_chars (where there is one) made new, and the columns
-    removed_spans (array of start, size, words, keeper; offsets in code points of the original text) and removed_words.
-
-    A null text stays null and an empty one empty; blank lines are kept. A null doc_id ranks last. Ties between rows of
-    one doc_id go to the text with the lesser hash; rows equal in doc_id and text are one document and get equal results.
-    A document of which all lines go keeps its row with an empty text. Empty tables give empty ones. All other columns
-    pass through; the two added ones replace any of their names. min_words: shorter runs of repeats stay, as headings,
-    greetings and licence lines repeat without being copies.
+            for doc_id, key, text, shared in zip(*(b.column(i) for i in range(4)), strict=True):
+                words = folded(text.as_py())
+                grams = run_hashes(word_hashes(text.as_py()), size)
+                places = selected(grams, width)
+                places = places[np.isin(grams[places], shared.values.to_numpy(zero_copy_only=False).view(np.uint64))]
+                holds = np.zeros(len(words) + 2, np.int64)  # +1 where the units with a place begin, -1 behind the last
+                np.add.at(holds, np.maximum(places - width + 1, 0), 1)
+                np.add.at(holds, np.minimum(places, len(words) - min_words) + 1, -1)
+                starts = np.flatnonzero(np.cumsum(holds) > 0)
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                first = np.concatenate([[0], ends])
+                for i in range(0, len(starts), 1 << 15):
+                    at = starts[i : i + (1 << 15)]
+                    spans = zip(first[at].tolist(), (ends[at + min_words - 1] - 1).tolist(), strict=True)
+                    both = np.frombuffer(b"".join([digest(joined[x:y]) for x, y in spans]), "<i8").reshape(-1, 2)
+                    ids = pa.repeat(doc_id, len(at)), pa.repeat(key, len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *ids, pa.array(at.astype(np.int32))], ["d1", "d2", "doc_id", "key", "at"])
+
+    return texts.select("doc_id", "key", "text", "shared").mapInArrow(run, "d1 long, d2 long, doc_id long, key long, at int")
+
+
+def _rank(*more: str) -> Column:
+    """By doc_id with null last; ties go to the lesser hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", *more)
+
+
+def repeated_ranges(docs: DataFrame, min_words: int, within: bool) -> DataFrame:
+    """doc_id, key, whole (a later copy of a text, which goes as a whole), ranges: array of first word, last word + 1 and
+    keeper, in order."""
+    texts = docs.select(*_keyed(docs)[:2], F.xxhash64(F.lit(7), F.col("text")).alias("key2")).where("key is not null").distinct()
+    texts = written(texts, "texts")
+    ranks = texts.groupBy("key", "key2").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("last"))
+    ranks = written(ranks.select("key", "key2", F.col("first.doc_id").alias("first_id"), (F.col("first") < F.col("last")).alias("copied")), "ranks")
+
+    found = written(selected_shingles(docs, min_words), "shingles")
+    many = F.min("key") < F.max("key")
+    shared = found.groupBy("h").agg((many | F.max("again") if within else many).alias("many")).where("many").select("h")
+    # Written, so that the join below has an exchange on either side and Spark can split a common shingle's partition.
+    shared = written(shared, "shared")
+    lists = found.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("shared"))
+    lists = written(ranks.join(lists, "key").select(F.col("first_id").alias("doc_id"), "key", "shared"), "lists")
+    own = docs.select(*_keyed(docs)).alias("t").join(lists.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.key") == F.col("l.key")))
+    units = written(units_around(own.select("t.doc_id", "t.key", "t.text", "l.shared"), min_words), "units")
+
+    place = _rank("at") if within else _rank()
+    first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("d1", "d2", "first")
+    later = units.join(written(first, "firsts"), ["d1", "d2"]).withColumn("place", place).where("place <> first")
+    # Units of one document that touch or overlap make a range; a document's units are no more than its words.
+    order = "partition by doc_id, key order by at"
+    later = later.selectExpr("doc_id", "key", "at", "first.doc_id as keeper", f"at > lag(at, 1, -1 - {min_words}) over ({order}) + {min_words} as new").distinct()
+    later = later.selectExpr("doc_id", "key", "at", "keeper", f"sum(int(new)) over ({order}) as range")
+    ranges = later.groupBy("doc_id", "key", "range").agg(F.min("at").alias("start"), (F.max("at") + min_words).alias("stop"), F.min(F.struct("at", "keeper"))["keeper"].alias("keeper"))
+    ranges = written(ranges.drop("range"), "ranges")
+    each = ranges.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "keeper"))).alias("ranges"))
+
+    # A copy's first words may have come from elsewhere already.
+    begins = ranges.where("start = 0").select(F.col("doc_id").alias("first_id"), "key", F.struct("keeper").alias("head"))
+    copied = ranks.where("copied").alias("r").join(begins.alias("b"), F.col("r.first_id").eqNullSafe(F.col("b.first_id")) & (F.col("r.key") == F.col("b.key")), "left")
+    copied = written(copied.select("r.key", "r.key2", "r.first_id", F.when(F.col("head").isNull(), F.col("r.first_id")).otherwise(F.col("head.keeper")).alias("keeper")), "copied")
+    whole = texts.join(copied, ["key", "key2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    whole = whole.select("doc_id", "key", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), "keeper")).alias("ranges"))
+    return each.select("doc_id", "key", F.lit(False).alias("whole"), "ranges").unionByName(whole.withColumn("whole", F.lit(True)))
+
+
+def without(text: str, ranges: list[tuple[int, int, int | None]]) -> tuple[str, list[dict]]:
+    """The text without the words of the ranges and the white space behind them; the spans that go, in code points."""
+    pieces = _PIECE.findall(text)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]) + (len(text) - sum(map(len, pieces)))
+    kept, spans, last = [], [], 0
+    for start, stop, keeper in ranges:
+        a, b = int(at[start]), int(at[stop])
+        kept.append(text[last:a])
+        spans.append({"start": a, "size": b - a, "words": stop - start, "keeper": keeper})
+        last = b
+    return "".join(kept) + text[last:], spans
+
+
+def dedup_passages(docs: DataFrame, min_words: int = 50, within: bool = False) -> DataFrame:
+    """docs with text reduced to what no earlier document has, and the columns removed_spans (array of start, size, words,
+    keeper; offsets in code points of the original text; null where nothing goes) and removed_words.
+
+    A word goes if a run of min_words words around it, line ends counting as any white space, is also in an earlier
+    document; within: or at an earlier place of the same document. The white space behind a removed passage goes with it.
+    keeper is the first document that has the passage's first min_words words. n_chars (where there is one) is made new
+    where a text changes. A null text stays null and an empty one empty; texts of fewer than min_words words stay. A null
+    doc_id ranks last. Ties between rows of one doc_id go to the text with the lesser hash; rows equal in doc_id and text
+    are one document and get equal results. A document of which all goes keeps its row with what blanks lead its text.
+    Empty tables give empty ones. All other columns pass through; the two added ones replace any of their names.
     """
+    if min_words < 1:
+        raise ValueError("min_words must be positive")
     session_setup(docs.sparkSession)
-    spans = repeated_spans(docs, min_words)
-    own = docs.drop("removed_spans", "removed_words")
-    left = own.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", text_key(F.col("text")))
-    right = spans.select(F.col("doc_id").alias("__id2"), F.col("key").alias("__key2"), F.col("spans").alias("removed_spans"))
-    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left").drop("__id", "__key", "__id2", "__key2")
-
-    @F.pandas_udf("string")
-    def cut(texts, gone):
-        return type(texts)([t if g is None or t is None else without(t, [(x["start"], x["size"]) for x in g]) for t, g in zip(texts, gone, strict=True)])
-
-    out = joined.withColumn("text", F.when(F.col("removed_spans").isNull(), F.col("text")).otherwise(cut("text", "removed_spans")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("removed_words", F.coalesce(F.aggregate("removed_spans", F.lit(0), lambda a, x: a + x["words"]), F.lit(0)).cast("long"))
+    found = repeated_ranges(docs, min_words, within).select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "whole", "ranges")
+    kept = [c for c in docs.columns if c not in ("removed_spans", "removed_words")]
+    # The row travels in a struct, so that no column of its own can clash with those of the join.
+    left = docs.select(F.struct(*kept).alias("row"), *_keyed(docs)[:2])
+    joined = left.join(found, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left").select("row", "whole", "ranges")
+
+    @F.pandas_udf(f"text string, spans {SPANS}")
+    def cut(text: pd.Series, whole: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, w, r in zip(text, whole, ranges, strict=True):
+            if t is None or r is None:
+                out.append((None, None))
+                continue
+            all_ = [(x["start"], x["stop"], None if pd.isna(x["keeper"]) else int(x["keeper"])) for x in r]
+            if w:
+                n = len(folded(t))
+                all_ = [(0, n, all_[0][2])] if n >= min_words else []
+            out.append(without(t, all_) if all_ else (t, None))
+        return pd.DataFrame(out, columns=["text", "spans"], dtype=object)
+
+    # Only the texts that change go to Python.
+    changes = F.col("ranges").isNotNull()
+    joined = joined.withColumn("cut", cut(F.when(changes, F.col("row.text")), F.col("whole"), F.col("ranges")))
+    edited = F.col("cut.spans").isNotNull()
+    new = {"text": F.when(edited, F.col("cut.text")).otherwise(F.col("row.text"))}
+    if "n_chars" in kept:
+        new["n_chars"] = F.when(edited, F.length("cut.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    words = F.coalesce(F.aggregate("cut.spans", F.lit(0), lambda a, x: a + x["words"]), F.lit(0)).cast("long")
+    return joined.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in kept), F.col("cut.spans").alias("removed_spans"), words.alias("removed_words"))

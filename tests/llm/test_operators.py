@@ -47,52 +47,78 @@ def rows(docs):
 # 1
 
 
-def brute_lines(texts, least):
-    """texts: id -> text, ids distinct. What stays of each."""
-    seen, out = {}, {}
-    for i in sorted(texts):
-        lines, gone, run = (texts[i] or "").split("\n"), set(), []
-
-        def close(run=run, gone=gone):
-            if sum(n for _, n in run) >= least:
-                gone.update(k for k, _ in run)
-            run.clear()
-
-        for k, line in enumerate(lines):
-            words = [w.encode() for w in WORD.findall(line)]
-            if not words:
-                continue
-            key = b" ".join(w.translate(substring_dedup._LOWER_BYTES) for w in words)
-            if key in seen:
-                run.append((k, len(words)))
-            else:
-                seen[key] = i
-                close()
-        close()
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+def brute_passages(rows, least, within=False):
+    """rows: (doc_id, text), ids distinct. What stays of each text, and the ranges of words that go with their keepers."""
+    piece = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+    fold = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    words = {i: [fold(w) for w in WORD.findall(t or "")] for i, t in rows}
+    units = {i: [" ".join(w[k : k + least]) for k in range(len(w) - least + 1)] for i, w in words.items()}
+    first = {}
+    for i in sorted(units):
+        for k, u in enumerate(units[i]):
+            first.setdefault(u, (i, k))
+    out = {}
+    for i, t in rows:
+        ranges = []
+        for k, u in enumerate(units[i]):
+            if first[u][0] != i or (within and first[u] != (i, k)):
+                if ranges and k <= ranges[-1][1]:
+                    ranges[-1][1] = k + least
+                else:
+                    ranges.append([k, k + least, first[u][0]])
+        pieces, gone = piece.findall(t or ""), {k for a, b, _ in ranges for k in range(a, b)}
+        lead = len(t or "") - sum(map(len, pieces))
+        out[i] = (t and t[:lead] + "".join(p for k, p in enumerate(pieces) if k not in gone), [tuple(r) for r in ranges])
     return out
 
 
-def test_lines_against_brute_force(docs, rows):
-    for least in (1, 40):
-        got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_lines(docs, least).collect()}
-        assert got == brute_lines(rows, least)
+def passages(df):
+    return {r["doc_id"]: (r["text"], [(s["words"], s["keeper"]) for s in r["removed_spans"] or ()]) for r in df.collect()}
 
 
-def test_lines_keep_offsets(spark):
+@pytest.mark.parametrize(("least", "within"), [(1, False), (7, False), (50, False), (50, True), (20, True)])
+def test_passages_against_brute_force(docs, rows, least, within):
+    want = brute_passages(list(rows.items()), least, within)
+    assert passages(substring_dedup.dedup_passages(docs, least, within)) == {i: (t, [(b - a, k) for a, b, k in r]) for i, (t, r) in want.items()}
+
+
+@pytest.mark.parametrize("least", [5, 12, 50])
+def test_planted_passages_against_brute_force(spark, least):
+    """Passages of about the least length, set anywhere in lines, with repeated words and passages of passages."""
+    rng = np.random.default_rng(least)
+    text = lambda n, v=10**6: " ".join(f"W{x}" for x in rng.integers(0, v, n))
+    planted = [text(least + d) for d in (-1, 0, 1, 4, 20)] + [text(2 * least, 3), " ".join(["the"] * 3 * least)]
+    planted.append(planted[0] + " " + planted[1])
+    rows = []
+    for i in range(120):
+        parts = [text(int(rng.integers(0, 60))) for _ in range(3)]
+        for _ in range(int(rng.integers(0, 3))):
+            parts.insert(int(rng.integers(0, len(parts) + 1)), planted[rng.integers(len(planted))].swapcase() if rng.random() < 0.3 else planted[rng.integers(len(planted))])
+        rows.append((i, str(rng.choice(["", " ", "\n"])) + str(rng.choice([" ", "\n", " \t "])).join(parts)))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 120, 9)] + [(300, None), (301, "")]
+    for within in (False, True):
+        want = brute_passages(rows, least, within)
+        got = passages(substring_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), least, within))
+        assert got == {i: (t, [(b - a, k) for a, b, k in r]) for i, (t, r) in want.items()}
+
+
+def test_passages_keep_offsets(spark):
     passage = " ".join(f"Word{i}" for i in range(55))
-    d = spark.createDataFrame([(1, f"é\n{passage}\nend"), (2, f"héad\n\n{passage.upper()}  \ntail"), (3, passage)], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in substring_dedup.dedup_lines(d).collect()}
-    assert out[1]["removed_spans"] is None and out[2]["text"] == "héad\n\ntail" and out[3]["text"] == ""
+    d = spark.createDataFrame([(1, f"é\n{passage}\nend"), (2, f"héad and {passage.upper()}  \ntail"), (3, passage), (4, f"a {passage}")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in substring_dedup.dedup_passages(d).collect()}
+    assert out[1]["removed_spans"] is None and out[2]["text"] == "héad and tail" and out[3]["text"] == "" and out[4]["text"] == "a "
     s = out[2]["removed_spans"][0]
-    assert (s["start"], s["size"], s["words"], s["keeper"]) == (6, len(passage) + 2, 55, 1)
+    assert (s["start"], s["size"], s["words"], s["keeper"]) == (9, len(passage) + 3, 55, 1)
 
 
-def test_lines_odd(odd, none):
-    out = substring_dedup.dedup_lines(odd.withColumn("removed_words", F.lit("x")), 2)
+def test_passages_odd(spark, odd, none):
+    out = substring_dedup.dedup_passages(odd.withColumn("removed_words", F.lit("x")), 2)
     got = Counter((r["doc_id"], r["text"]) for r in out.collect())
-    assert sum(got.values()) == len(ODD) and got[5, ""] == 2 and got[None, ""] == 1 and got[None, None] == 1 and got[1, ODD[0][1]] == 1 and got[9, LONG] == 1
-    assert substring_dedup.dedup_lines(none).count() == 0 and out.schema["removed_words"].dataType.simpleString() == "bigint"
+    assert sum(got.values()) == len(ODD) and got[5, ""] == 2 and got[None, ""] == 1 and got[None, None] == 1 and got[1, ODD[0][1]] == 1 and got[9, LONG] == 1 and got[4, ODD[3][1]] == 1
+    assert substring_dedup.dedup_passages(none).count() == 0 and out.schema["removed_words"].dataType.simpleString() == "bigint"
+    assert [c for c in out.columns if c not in ("removed_spans", "removed_words")] == odd.columns
+    clash = spark.createDataFrame([(1, "x", 7, 8), (2, "x", 9, 10)], "doc_id long, text string, id2 long, key2 long")
+    assert [tuple(r)[2:4] for r in substring_dedup.dedup_passages(clash, 1).orderBy("doc_id").collect()] == [(7, 8), (9, 10)]
 
 
 # 2
