@@ -27,7 +27,7 @@ from runlore.llm.pieces import Pieces
 MEMO = 400_000
 
 RESULT = "doc_id long, n_tokens long, ids binary, decoded string"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -160,7 +160,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
     """Encode every whole text and decode the ids again; one row for each row of docs, in no given order.
 
     docs: doc_id, text and any other columns, which are ignored. digests: SHA-256 of ids and of the decoded bytes in
-    place of these. A null text counts as empty: no ids, decoded to the empty string. A null doc_id stays null; repeated
+    place of these, and n_chars of the text. A null text counts as empty: no ids, decoded to the empty string. A null doc_id stays null; repeated
     rows each give a row; an empty table gives an empty one. No shuffle: each text is encoded where it is read.
     """
     session_setup(docs.sparkSession)
@@ -168,12 +168,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digests: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
         for batch in batches:
-            ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            ids = [own.encode(t or "") for t in texts]
             back = [own.decode(x) for x in ids]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             if digests:
                 rest = [pa.array([hashlib.sha256(x).hexdigest() for x in c], pa.string()) for c in (ids, back)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), counts, *rest], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                chars = pa.array([len(t or "") for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), counts, *rest, chars], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars"])
             else:
                 rest = [pa.array(ids, pa.binary()), pa.array([x.decode() for x in back], pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), counts, *rest], ["doc_id", "n_tokens", "ids", "decoded"])

@@ -199,15 +199,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_distance: int = 2, simi
     A null or blank text has fingerprint zero and links like any other. Fewer words than a shingle: the whole sequence
     is one. Null doc_ids take part and get a component, but are never its least unless all are null. Repeated rows and
     ties share their component. An empty table gives an empty one. Other columns are ignored.
-    similarity: link by the Jaccard similarity of the sets of shingles instead, exactly (see similar_sets); max_distance
-    is not used then, and fp is a digest of the set, so that only equal sets are one without a comparison.
+    similarity: link by the Jaccard similarity of the sets of shingles instead (see similar_sets): pairs within max_distance
+    are candidates that are verified, and an exact join adds what they leave out. fp is then a digest of the set, so that
+    only equal sets are one without a comparison.
     """
     if similarity is not None:
         made = written(set_rows(docs, words, similarity), "sets")
         rows = made.select("doc_id", "key", F.col("node").alias("fp"))
         nodes = set_nodes(docs, made, words, similarity)
         classes = nodes.select(F.col("node").alias("fp"), "least")
-        roots = similar_components(docs, nodes, words, similarity).withColumnRenamed("node", "fp")
+        roots = similar_components(docs, nodes, words, similarity, max_distance).withColumnRenamed("node", "fp")
     else:
         rows = written(fingerprints(docs, words), "fingerprints")
         classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")

@@ -1,13 +1,16 @@
-"""Exact components of sets at a Jaccard similarity, by a prefix-filtered join (the pipeline's near-duplicates).
+"""Components of texts at a Jaccard similarity of their shingle sets: SimHash candidates, then an exact check that misses
+no link (the pipeline's near-duplicates).
 
-Shingles have one global order, and two sets of that similarity share a shingle of their prefixes, the first n - s * n + 1
-of n. Any order is right: shingles that are common in prefixes come last, the others by hash, so that frequent lines leave
-the prefixes. Equal sets are one node, named by a digest of the set.
+Equal sets are one node, named by a digest of the set. Candidates are those of the SimHash pigeonhole (fingerprints of the
+sets) and those of a prefix-filtered join: shingles have one global order, and two sets of that similarity share a shingle
+of their prefixes, the first n - s * n + 1 of n. Any order is right: shingles that are common in prefixes come last, the
+others by hash, so that frequent lines leave the prefixes. Every candidate is verified on whole sets.
 
 A shingle that few prefixes share gives all its pairs. Of one that many share only the components matter: every set is
-compared with a pivot, the set with the largest share of common shingles (the base of a group of variants), and the
-shingle is settled once its sets are one component. What is left after a few rounds is compared with everything outside
-its own component, so no link between components is left out. Every link is verified on whole sets.
+first compared with a pivot, the set with the largest share of common shingles (the base of a group of variants). Sets
+that are then outside the main component of their shingle are compared with all that share it, in blocks, by sketches: the
+parity of a set's shingles in each of SKETCH slots. Two sketches differ in no more slots than their sets have different
+shingles, so what a sketch turns away cannot be similar, and no pair is written that it turns away.
 """
 
 from __future__ import annotations
@@ -23,11 +26,16 @@ from pyspark.sql import functions as F
 
 from runlore.llm.common import session_setup, text_key, written
 from runlore.llm.components import connected_components
+from runlore.llm.words import run_hashes, word_hashes
 
 #: A shingle that up to so many prefixes share is paired out; of more, sets go by pivots first. Both are exact.
 PAIRED = 48
-#: Rounds with pivots before what is left is compared with all outside its component.
-ROUNDS = 3
+#: Sets in a block of sketches that are compared at once.
+BLOCK = 1024
+#: Slots of a sketch. More turn away more; the result does not depend on it.
+SKETCH = 2048
+#: Shingles that are kept beyond a set's prefix, so that the prefix is still known when common ones move to the end.
+SLACK = 16
 #: Slots of the filters: a few hundred KB, whatever the data.
 SLOTS = 1 << 22
 
@@ -62,10 +70,24 @@ def prefix(own: np.ndarray, similarity: float, late: np.ndarray | None = None) -
     return np.concatenate([own[~last][:n], own[last]])[:n]
 
 
+def settled(known: np.ndarray, n: int, similarity: float, late: np.ndarray) -> np.ndarray | None:
+    """The prefix of a set of n hashes of which the first ones are known; None if these are too few to tell."""
+    p = prefix_length(n, similarity)
+    out = prefix(known, 0, late)[:p]  # of similarity 0 the prefix is the whole
+    return out if len(known) == n or len(known) - late[(known & np.uint64(SLOTS - 1)).astype(np.int64)].sum() >= p else None
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The ascending hashes of a text's distinct shingles; of fewer words, of the whole sequence."""
+    own = word_hashes(text)
+    return np.unique(run_hashes(own, min(words, len(own)))) if len(own) else own
+
+
 def set_rows(docs: DataFrame, words: int, similarity: float, late=None, asked=None, whole: bool = False) -> DataFrame:
-    """doc_id, key, node (a digest of the set of shingles), n (its size), and its prefix or, if whole, the set's bytes: one
-    row for each row of docs, or of those whose key is in an asked slot. late, asked: broadcast slots."""
-    from runlore.llm.simhash import shingle_hashes
+    """doc_id, key, node (a digest of the set of shingles), n (its size), and fp (its fingerprint) with its prefix and some
+    more or, if whole, the set's bytes: one row for each row of docs, or of those whose key is in an asked slot. late,
+    asked: broadcast slots."""
+    from runlore.llm.simhash import fingerprint
 
     session_setup(docs.sparkSession)
 
@@ -73,37 +95,54 @@ def set_rows(docs: DataFrame, words: int, similarity: float, late=None, asked=No
         for b in batches:
             if asked is not None:
                 b = b.take(pa.array(np.flatnonzero(asked.value[b.column(1).to_numpy(zero_copy_only=False) % SLOTS])))
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
             node = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
-            last = pa.array([s.tobytes() for s in sets], pa.binary()) if whole else pa.array([prefix(s, similarity, late and late.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array(map(len, sets), pa.int32()), last], ["doc_id", "key", "node", "n", "shingles" if whole else "prefix"])
+            if whole:
+                last = {"shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
+            else:
+                fp = [fingerprint(s) for s in sets] if late is None else [0] * len(sets)
+                own = [s[: prefix_length(len(s), similarity) + SLACK] if late is None else prefix(s, similarity, late.value) for s in sets]
+                last = {"fp": pa.array(fp, pa.int64()), "prefix": pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "key": b.column(1), "node": node, "n": pa.array(map(len, sets), pa.int32()), **last})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, node long, n int, " + ("shingles binary" if whole else "prefix array<long>"))
+    return rows.mapInArrow(run, "doc_id long, key long, node long, n int, " + ("shingles binary" if whole else "fp long, prefix array<long>"))
 
 
 def set_nodes(docs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """node, key (of one text), n, least (doc_id), prefix: distinct sets, with common shingles last in the order."""
+    """node, key (of one text), n, least (doc_id), fp, prefix: distinct sets, with common shingles last in the order."""
     spark = docs.sparkSession
-    nodes = written(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("prefix").alias("prefix")), "nodes")
-    common = written(nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key"), "common")
-    if common.isEmpty():
-        return nodes
+    nodes = written(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
+    own = F.slice("prefix", 1, F.greatest(F.size("prefix") - SLACK, F.lit(1)))  # about the prefix; any choice of common ones is right
+    common = written(nodes.where("n > 0").select(F.explode(own).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key"), "common")
     late = spark.sparkContext.broadcast(slots_of(common))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            hit = np.concatenate([[0], np.cumsum(late.value[lists.values.to_numpy(zero_copy_only=False) & (SLOTS - 1)])])
-            ends = lists.offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hit[ends[1:]] > hit[ends[:-1]], pa.bool_())], ["node", "stale"])
-
-    # A prefix without such a shingle is the same in either order.
-    stale = written(nodes.select("node", "prefix").mapInArrow(pick, "node long, stale boolean").where("stale").select("node"), "stale")
-    asked = spark.sparkContext.broadcast(slots_of(nodes.join(stale, "node", "left_semi").select("key")))
+            known = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in b.column(2)]
+            own = [settled(x, n, similarity, late.value) for x, n in zip(known, b.column(1).to_pylist(), strict=True)]
+            stale = pa.array([x is None for x in own], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), stale, pa.array([() if x is None else x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "stale", "prefix"])
+
+    rest = nodes.drop("prefix")
+    new = written(nodes.select("node", "n", "prefix").mapInArrow(settle, "node long, stale boolean, prefix array<long>").join(rest, "node"), "nodes")
+    stale = new.where("stale")
+    if stale.isEmpty():
+        return new.drop("stale")
+    asked = spark.sparkContext.broadcast(slots_of(stale.select("key")))
     anew = set_rows(docs, words, similarity, late, asked).groupBy("node").agg(F.first("prefix").alias("prefix"))
-    old = nodes.join(stale, "node", "left_anti")
-    return written(old.unionByName(nodes.drop("prefix").join(stale, "node", "left_semi").join(anew, "node")), "nodes")
+    return written(new.where("not stale").drop("stale").unionByName(stale.drop("stale", "prefix").join(anew, "node")), "nodes")
+
+
+def simhash_pairs(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """src, dst: nodes whose fingerprints are equal or linked, enough of them to connect all that are."""
+    from runlore.llm.simhash import links
+
+    classes = written(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("src")), "classes")
+    equal = nodes.where("n > 0").select("fp", F.col("node").alias("dst")).join(classes, "fp").where("src <> dst").select("src", "dst")
+    near = links(classes.select("fp"), max_distance).withColumnsRenamed({"src": "a", "dst": "b"})
+    near = near.join(classes.select(F.col("fp").alias("a"), "src"), "a").join(classes.select(F.col("fp").alias("b"), F.col("src").alias("dst")), "b")
+    return equal.unionByName(near.select("src", "dst"))
 
 
 def _fits(a: Column, b: Column, similarity: float) -> Column:
@@ -111,7 +150,7 @@ def _fits(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, max_distance: int) -> DataFrame:
     """node, root: the components of the nodes' sets at that similarity; nodes without a link are left out."""
     spark = docs.sparkSession
     keyed = nodes.select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("part"))
@@ -132,7 +171,8 @@ def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity
     for end in ("src", "dst"):
         pairs = pairs.join(crowded.select(F.col("node").alias(end), F.col("common").alias(f"{end}_common")), end, "left")
     unseen = F.least(F.coalesce("src_common", F.lit(0)), F.coalesce("dst_common", F.lit(0)))
-    candidates = written(pairs.where(F.col("same") + unseen >= need).select("src", "dst"), "candidates")
+    pairs = pairs.where(F.col("same") + unseen >= need).select("src", "dst").unionByName(simhash_pairs(nodes, max_distance))
+    candidates = written(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates")
 
     ends = candidates.select(F.col("src").alias("node")).unionByName(candidates.select(F.col("dst").alias("node"))).unionByName(crowded.select("node")).distinct()
     ends = written(nodes.select("node", "key").join(ends, "node", "left_semi"), "ends")
@@ -145,50 +185,88 @@ def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity
 
     large = written(large.join(crowded, "node").select("part", "node", "n", (F.col("common") / F.col("p")).alias("share")), "large")
     of = large.withColumn("root", F.col("node"))
-    roots, new, turn = None, edges, 0
-    while True:
+    drawn = written(sketches(sets.join(crowded.select("node"), "node", "left_semi")), "sketches")
+    roots, new = None, edges
+    for turn in range(4):
         # Components of components: the new links between roots, and what they make of the roots so far.
-        found_roots = connected_components(new)
-        later = found_roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        later = connected_components(new)
         if roots is None:
-            roots = found_roots
+            roots = later
         else:
-            moved = roots.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-            roots = written(moved.unionByName(found_roots.join(roots, "node", "left_anti")), "roots")
-        of = written(of.join(later, "root", "left").select("part", "node", "n", "share", F.coalesce("last", "root").alias("root")), "rooted")
+            moved = roots.join(later.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+            roots = written(moved.select("node", F.coalesce("last", "root").alias("root")).unionByName(later.join(roots, "node", "left_anti")), "roots")
+        if turn == 3:
+            return roots
+        of = of.join(later.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+        of = written(of.select("part", "node", "n", "share", F.coalesce("last", "root").alias("root")), "rooted")
         # A part's main component is that of most of its sets; the rest is to be compared.
         sizes = of.groupBy("part", "root").agg(F.count("*").alias("c"), F.max(F.struct("share", "n", "node")).alias("pivot"))
-        mains = sizes.groupBy("part").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.max(F.struct("pivot", "root")).alias("best"), F.count("*").alias("roots")).where("roots > 1")
-        mains = written(mains.select("part", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("rest"), F.col("best.pivot.node").alias("pivot"), F.col("best.pivot.n").alias("pivot_n"), F.col("best.root").alias("pivot_root")), "mains")
-        rows, across = mains.agg(F.sum("all"), F.sum(F.col("rest").cast("double") * F.col("all"))).first()
-        if not rows:
+        mains = sizes.groupBy("part").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("sharers"), F.max(F.struct("pivot", "root")).alias("best"), F.count("*").alias("roots")).where("roots > 1")
+        mains = written(mains.select("part", "main", "sharers", F.col("best.pivot.node").alias("b"), F.col("best.pivot.n").alias("b_n"), F.col("best.root").alias("b_root")), "mains")
+        if mains.isEmpty():
             return roots
-        todo = written(of.join(mains.drop("all", "rest"), "part"), "todo")
-        last = turn >= ROUNDS or across <= PAIRED * rows
-        if last:
-            rest = todo.where("root <> main").select("part", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-            once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("b"))
-            pairs = todo.join(rest, "part").where(once)
-        elif turn:  # other pivots: any of those that are left
-            tried = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.struct("node", "n", "root").alias("v"))
-            pivots = written(todo.where("root <> main").groupBy("part").agg(F.min(tried)["v"].alias("v")), "pivots")
-            pairs = todo.join(pivots, "part").withColumns({"b": F.col("v.node"), "b_n": F.col("v.n"), "b_root": F.col("v.root")})
+        todo = of.join(mains, "part")
+        if turn:  # first the most alike of each block, then all that the sketches leave
+            pairs = block_pairs(todo.join(drawn, "node"), similarity, best=turn == 1)
         else:
-            pairs = todo.withColumns({"b": F.col("pivot"), "b_n": F.col("pivot_n"), "b_root": F.col("pivot_root")})
-        pairs = pairs.where((F.col("root") != F.col("b_root")) & _fits(F.col("n"), F.col("b_n"), similarity))
-        ends = F.struct("node", "root").alias("x"), F.struct(F.col("b").alias("node"), F.col("b_root").alias("root")).alias("y")
-        pairs = pairs.select(*ends).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = written(pairs.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst"), F.col("x.root").alias("x"), F.col("y.root").alias("y")), "candidates")
+            pairs = todo.where((F.col("root") != F.col("b_root")) & _fits(F.col("n"), F.col("b_n"), similarity))
+            pairs = pairs.select(F.struct("node", "root").alias("x"), F.struct(F.col("b").alias("node"), F.col("b_root").alias("root")).alias("y"))
+            pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).selectExpr("x.node src", "y.node dst", "x.root x", "y.root y")
+        pairs = written(pairs.distinct(), "candidates")
         linked = verified(pairs, sets, similarity).join(pairs, ["src", "dst"])
         new = written(linked.select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct(), "edges")
-        turn += 1
-        if new.isEmpty() and last:
-            return roots
-        if last:
-            found_roots = connected_components(new)
-            later = found_roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
-            moved = roots.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-            return written(moved.unionByName(found_roots.join(roots, "node", "left_anti")), "roots")
+    return roots
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """node, sketch: for every slot whether an odd number of the set's shingles fall into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.bincount((np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1 for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(x.astype(np.uint8)).tobytes() for x in rows], pa.binary())], ["node", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, sketch binary")
+
+
+def block_pairs(todo: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """src, dst, x, y (their roots): the pairs of a part of which at least one is outside the part's main component, that
+    have different roots, and that size and sketch leave possible; best: of each block only the most alike for every set.
+
+    todo: part, node, n, root, main, sharers, sketch. A part's sets are dealt into blocks of about BLOCK; a task compares
+    two blocks of a part, so its memory is bounded, and a part that many share is work for many tasks."""
+    blocks = F.ceil(F.col("sharers") / F.lit(BLOCK)).cast("int")
+    todo = todo.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "rest": F.col("root") != F.col("main"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    columns = ["part", "node", "n", "root", "rest", "sketch"]
+    first = todo.where("rest").select(*columns, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"))
+    second = todo.select(*columns, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+    most = (1 - similarity) / (1 + similarity)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        asks = rows.column("asks").to_numpy()
+        node, n, root, rest = (rows.column(c).to_numpy() for c in ("node", "n", "root", "rest"))
+        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        one, two, found = np.flatnonzero(asks), np.flatnonzero(~asks), []
+        for i in range(0, len(one), 32):
+            a = one[i : i + 32]
+            differ = np.bitwise_count(bits[a, None, :] ^ bits[None, two, :]).sum(2, dtype=np.int32)
+            na, nb = n[a][:, None].astype(float), n[two][None].astype(float)
+            room = most * (na + nb) + 1e-6 - differ
+            fits = (room >= 0) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (root[a][:, None] != root[two][None])
+            fits &= ~(rest[two][None] & (node[a][:, None] > node[two][None]))  # of two such sets the lesser asks
+            if best:
+                room = np.where(fits, room / (na + nb), -1.0)
+                top = room.argmax(1) if len(two) else np.empty(0, np.int64)
+                fits = np.zeros_like(fits)
+                ok = np.flatnonzero(room[np.arange(len(top)), top] >= 0)
+                fits[ok, top[ok]] = True
+            x, y = np.nonzero(fits)
+            found.append(np.stack([a[x], two[y]]))
+        x, y = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        return pa.table({"src": node[x], "dst": node[y], "x": root[x], "y": root[y]})
+
+    return first.unionByName(second).groupBy("part", "i", "j").applyInArrow(compare, "src long, dst long, x long, y long")
 
 
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

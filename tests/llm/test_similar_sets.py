@@ -71,11 +71,37 @@ def test_all_ways_against_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert components(spark, rows) == want
     monkeypatch.setattr(similar_sets, "PAIRED", 2)
-    for rounds in (0, 2):
-        monkeypatch.setattr(similar_sets, "ROUNDS", rounds)
+    for block, slots, slack in ((4, 64, 0), (16, 2048, 3)):
+        for name, x in (("BLOCK", block), ("SKETCH", slots), ("SLACK", slack)):
+            monkeypatch.setattr(similar_sets, name, x)
         assert components(spark, rows) == want
 
 
+def test_sketches_never_turn_away_a_link(spark):
+    rng = np.random.default_rng(23)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 40, 300, 5000)]
+    sets += [np.setdiff1d(s, rng.choice(s, len(s) // 9)) for s in sets]
+    drawn = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, shingles binary")
+    bits = {r["node"]: np.frombuffer(bytes(r["sketch"]), np.uint64) for r in similar_sets.sketches(drawn).collect()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_outside_the_main_component(spark, monkeypatch):
+    """Groups that share most of a base, some too far from it, so that only the comparison in blocks links them."""
+    rng = np.random.default_rng(29)
+    monkeypatch.setattr(similar_sets, "PAIRED", 8)
+    monkeypatch.setattr(similar_sets, "BLOCK", 16)
+    base = text(rng, 150)
+    rows = [(i, " ".join(variant(rng, base, 2))) for i in range(40)]
+    for group in range(12):
+        far = variant(rng, base, 9)
+        rows += [(100 + 10 * group + i, " ".join(variant(rng, far, 1))) for i in range(3)]
+    want = brute(rows)
+    assert len(set(want.values())) > 5 and components(spark, rows) == want
+
+
 def test_equal_fingerprints_of_different_sets(spark):
     rng = np.random.default_rng(11)
     tail = "\n".join([" ".join(text(rng, 11))] * 400)
