@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality filter, near-duplicates, repeated lines, benchmark overlaps, token ids.
+"""A corpus pipeline: quality filter, near-duplicates, repeated passages, benchmark overlaps, token ids.
 
 Each stage takes what the one before it kept, as written to Parquet, and its decisions take effect: later stages never
 see what an earlier one removed.
@@ -14,11 +14,12 @@ from runlore.llm import bpe, decontamination, quality_model, simhash, substring_
 from runlore.llm.common import table, text_key, written
 
 
-def chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents named by rows' doc_id and key (of the text)."""
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", text_key(F.col("text")))
-    named = rows.select(F.col("doc_id").alias("__id2"), F.col("key").alias("__key2"))
-    return keyed.join(named, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left_semi").drop("__id", "__key")
+def chosen(docs: DataFrame, rows: DataFrame, once: bool = False) -> DataFrame:
+    """The documents named by rows' doc_id and key (of the text); once: one row of those that repeat a row. A row travels
+    in a struct, so that no column of its own can clash with those of the join."""
+    name = lambda key: [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), key.alias("key")]
+    found = docs.select(F.struct(*docs.columns).alias("row"), *name(text_key(F.col("text")))).join(rows.select(*name(F.col("key"))), ["id", "none", "key"], "left_semi")
+    return (found.dropDuplicates(["id", "none", "key"]) if once else found).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +30,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates on five-word shingles the document with the least doc_id stays (a null id is
-    greater than any; ties go to the lesser hash of the text). Rows equal in doc_id and text are one document: all its
-    rows stay or go, but of a group's one document that repeats one row stays."""
+    greater than any; ties go to the lesser hash of the text). Rows equal in doc_id and text are one document, of which
+    one row stays."""
     groups = simhash.near_duplicates(docs, words=5, max_distance=2, similarity=0.8)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = groups.groupBy(F.col("root")).agg(F.min(place).alias("p"))
-    return chosen(docs, first.select("p.doc_id", "p.key")).withColumn("__key", text_key(F.col("text"))).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return chosen(docs, first.select("p.doc_id", "p.key"), once=True)
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go from the later ones."""
-    return substring_dedup.dedup_lines(docs).select(*docs.columns)
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has go from the later ones; documents that lose all their
+    words go. n_chars follows the text."""
+    out = substring_dedup.dedup_passages(docs)
+    return out.where(F.col("removed_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +51,14 @@ def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars of every document that is left."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
 STAGES = [
     ("quality classifier", quality),
     ("simhash near-dedup", near_duplicates),
-    ("substring dedup", repeated_lines),
+    ("substring dedup", repeated_passages),
     ("benchmark decontamination", benchmark_overlaps),
     ("byte-level bpe", token_ids),
 ]
