@@ -6,7 +6,8 @@ item with the document, which is verified word for word: some window, in which a
 have enough equal words. The masks miss no such window, wherever its words were replaced.
 
 The benchmark comes through the driver in blocks of a fixed number of words, each a broadcast of bounded size, and every
-document meets every block where it is read: no text is shuffled, whatever the benchmark's size.
+document meets every block where it is read: no text is shuffled, whatever the benchmark's size. After every CHAINED
+blocks the hits so far are written, so that a task never holds more than so many of them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import session_setup, text_key
+from runlore.llm.common import session_setup, written
 
 #: Fixed masks over a window of words, by the equal words that count (more than 13 as 13); 0 ignores the word. Every window
 #: with so many, and four in five equal, is hit. For 13, a window without five equal words in a row and with seven or more
@@ -30,6 +31,8 @@ MASKS = {
 }
 #: Words of the benchmark in one broadcast block (about 60 bytes a word).
 BLOCK_WORDS = 400_000
+#: Blocks that one pass over the documents meets.
+CHAINED = 8
 #: Bytes of text hashed at once, so that arrays stay small however long a text is.
 PIECE = 1 << 20
 #: Equal words are worth 1, others cost this.
@@ -223,7 +226,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, min_i
     end (words counted from 0, of digits and letters) and equal words.
 
     A stretch counts from min_overlap equal words, or four fifths of a shorter item, with at least four in five equal.
-    Items of fewer than min_item words are not searched: they occur by chance. Null and empty texts overlap nothing;
+    Items of fewer than min_item words are not searched, as they occur in clean texts by chance; min_item=1 searches all. Null and empty texts overlap nothing;
     null ids of documents pass through; items with null ids or texts are left out; repeated rows and ties each get the
     same result; an empty benchmark or table finds nothing. Other columns pass through; one named overlaps is replaced.
     """
@@ -233,7 +236,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, min_i
     out = docs.select(*names).withColumn("overlaps", F.array().cast(HITS))
     at = names.index("text")
     schema = out.schema
-    for block in blocks(benchmark, min_overlap, min_item):
+    for i, block in enumerate(blocks(benchmark, min_overlap, min_item)):
+        if i and i % CHAINED == 0:
+            out = written(out, "overlaps")
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

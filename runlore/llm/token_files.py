@@ -119,9 +119,14 @@ class LibraryModel:
         from tokenizers import Tokenizer
 
         self.whole, self.kind = Tokenizer.from_file(path), kind
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.before = self.whole.model, self.whole.pre_tokenizer
-        self.encode = Pieces(SPLIT, self.piece_ids).encode if type(self.before).__name__ == "ByteLevel" and self.whole.normalizer is None else self.whole_ids
+        plain = type(self.before).__name__ == "ByteLevel" and self.whole.normalizer is None
+        self.pieces = Pieces(SPLIT, self.piece_ids).encode if plain else self.whole_ids
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> bytes:
+        # The library cuts a text at the strings of its added tokens before it splits.
+        return self.whole_ids(text) if any(a in text for a in self.added) else self.pieces(text)
 
     def piece_ids(self, piece: str) -> bytes:
         parts = self.before.pre_tokenize_str(piece)

@@ -16,7 +16,10 @@ from runlore.llm.components import connected_components
 
 #: A list of rules up to this many rows is broadcast (some MB); a longer one is joined by shuffle.
 BROADCAST_RULES = 20_000
-ATTRIBUTE = "(?is).*?\\b{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+)).*"
+#: A name and its value; read one after another, so that what stands in a quoted value is no name.
+ATTRIBUTE = "(?s)([^\\s\"'<>/=]+)\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
+#: What holds no tags; without its end it reaches to the end of the page.
+HIDDEN = "(?is)<!--.*?(?:-->|\\z)|<(script|style)\\b.*?(?:</\\1\\s*>|\\z)"
 
 
 def host_of(url: Column) -> Column:
@@ -31,8 +34,11 @@ def path_of(url: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    pattern = ATTRIBUTE.format(name=name)
-    return F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
+    """The value of a tag's first attribute of that name; empty where it has none."""
+    names = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1))
+    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2))
+    at = F.array_position(F.transform(names, F.lower), name)
+    return F.when(at > 0, F.regexp_replace(F.get(values, at.cast("int") - 1), "(?s)^([\"'])(.*)\\1$", "$2")).otherwise(F.lit(""))
 
 
 def resolved(link: Column, base: Column) -> Column:
@@ -54,18 +60,32 @@ def resolved(link: Column, base: Column) -> Column:
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """src, dst: the links of pages (url, html) to the urls that their canonical links and refresh redirects name."""
-    tags = F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit("(?is)<(?:link|meta)\\b[^>]*>"), F.lit(0))
+    shown = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), HIDDEN, " ")
+    tags = F.regexp_extract_all(shown, F.lit("(?is)<(?:link|meta)[\\s/][^>]*>"), F.lit(0))
     rows = pages.select(F.col("url").cast("string").alias("url"), F.explode(tags).alias("tag"))
-    rel, refresh = F.lower(attribute(F.col("tag"), "rel")), F.lower(attribute(F.col("tag"), "http-equiv"))
-    canonical = F.when(F.array_contains(F.split(rel, "\\s+"), "canonical"), attribute(F.col("tag"), "href"))
-    moved = F.when(refresh == "refresh", F.regexp_extract(attribute(F.col("tag"), "content"), "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
-    rows = rows.select("url", resolved(F.coalesce(canonical, moved, F.lit("")), F.col("url")).alias("dst"))
-    return rows.where("dst <> '' and url is not null").select(plain(F.col("url")).alias("src"), F.col("dst"))
+    # Step by step, so that no expression holds another one many times over.
+    named = {"rel": "rel", "to": "href", "kind": "http-equiv", "content": "content"}
+    rows = rows.select("url", *(attribute(F.col("tag"), x).alias(c) for c, x in named.items()))
+    canonical = F.when(F.array_contains(F.split(F.lower("rel"), "\\s+"), "canonical"), F.col("to"))
+    moved = F.when(F.lower("kind") == "refresh", F.regexp_extract("content", "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
+    rows = rows.select("url", F.coalesce(canonical, moved, F.lit("")).alias("link")).where("link <> '' and url is not null")
+    rows = rows.select("url", resolved(F.col("link"), F.col("url")).alias("dst")).where("dst <> ''")
+    return rows.select(plain(F.col("url")).alias("src"), plain(F.col("dst")).alias("dst"))
 
 
 def plain(url: Column) -> Column:
-    """A url without its fragment: what links name."""
-    return F.regexp_replace(url, "(?s)#.*$", "")
+    """The one spelling of a url that stands for all that name the same page: no fragment, scheme and host in lower case,
+    no default port, dot segments resolved, / for an empty path. A text without :// only loses its fragment."""
+    url = F.regexp_replace(url, "(?s)#.*$", "")
+    part = lambda i: F.regexp_extract(url, "(?s)^(.*?)://([^/?]*)([^?]*)(.*)$", i)
+    scheme = F.lower(part(1))
+    host = F.translate(part(2), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":(?:80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(?:443)?$", "")).otherwise(host)
+    names = F.split(part(3), "/", -1)
+    last = F.when(F.element_at(names, -1).isin(".", ".."), F.concat(names, F.array(F.lit("")))).otherwise(names)
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x)))
+    path = F.when(part(3).contains("/."), F.array_join(F.aggregate(last, F.array().cast("array<string>"), step), "/")).otherwise(part(3))
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(path), part(4))).otherwise(url)
 
 
 def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -90,8 +110,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
 
     rules: host, path, verdict (allow or block). redirects: further links src, dst between urls, such as those of a
     crawl's log. alias_verdict: what the component says, null where no rule fits any url of it. Null urls and urls
-    without :// have an empty host and path, fit no rule and have no aliases: allowed. Null html has no links. Fragments
-    do not tell aliases apart. Null page_ids pass through; ties and repeated rows are judged alike; an empty table gives
+    without :// have an empty host and path, fit no rule and have no aliases: allowed. Null html has no links. Fragments,
+    the case of hosts, default ports, empty paths and dot segments do not tell aliases apart. Tags in comments, scripts and
+    styles make no links. Null page_ids pass through; ties and repeated rows are judged alike; an empty table gives
     an empty one, and no rules allow everything. Other columns are ignored.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")

@@ -148,6 +148,26 @@ def test_urls(spark):
     assert url_filter.judge_urls(p.limit(0), r).count() == 0 and url_filter.judge_urls(p, r.limit(0)).where("verdict <> 'allow'").count() == 0
 
 
+def test_one_spelling(spark):
+    cases = {
+        "http://B.org:80/p#x": "http://b.org/p", "HTTPS://b.org:443": "https://b.org/", "http://b.org:443/p": "http://b.org:443/p", "http://b.org?q=A/../b": "http://b.org/?q=A/../b", "http://b.org/a/./b/../c/..": "http://b.org/a/",
+        "http://b.org/../../x": "http://b.org/x", "http://b.org/a/..b/.": "http://b.org/a/..b/", "no url#f": "no url", "http://": "http:///", None: None, "http://b.org/" + "a/../" * 300: "http://b.org/",
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string").withColumn("plain", url_filter.plain(F.col("url")))
+    assert {r["url"]: r["plain"] for r in df.collect()} == cases
+
+
+def test_links_of_pages(spark):
+    link = lambda url: f'<link rel="canonical" href="{url}">'
+    pages = [
+        ("http://a.org/1", link("http://B.org:80/p"), "http://b.org/p"), ("http://a.org/2", '<link data-rel="canonical" data-href="http://x.org/" rel="next" href="http://y.org/">', None), ("http://a.org/3", f"<!-- {link('http://x.org/')} -->", None),
+        ("http://a.org/4", f"<script>var s = '{link('http://x.org/')}'</script>" + link("/q"), "http://a.org/q"), ("http://a.org/5", '<link title=\'rel="canonical" href="http://x.org/"\' REL=canonical HREF=../z>', "http://a.org/z"),
+        ("http://a.org/6", "<!-- " + link("http://x.org/"), None), ("http://a.org/" + "long/" * 20_000, "x" * 300_000 + link("http://b.org"), "http://b.org/"), ("http://a.org/8", '<linker rel="canonical" href="http://x.org/">', None),
+    ]
+    got = {r["src"]: r["dst"] for r in url_filter.alias_links(spark.createDataFrame(pages, "url string, html string, want string")).collect()}
+    assert got == {u: w for u, _, w in pages if w}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000 + i) for i in range(300)] + [(7, 7), (None, 3)]
@@ -232,7 +252,6 @@ def test_token_files(request, spark, table, tmp_path):
     token_files.write_token_files(d, out, path, partitions=5)
     got = token_files.read_token_files(spark, out).orderBy("start").collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = [(r["doc_id"], t.encode(r["text"] or "", add_special_tokens=False).ids + [0]) for r in d.collect()]
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want)
     total = 0
@@ -243,6 +262,15 @@ def test_token_files(request, spark, table, tmp_path):
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
 
 
+def test_strings_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    whole, own = Tokenizer.from_file(path), token_files.LibraryModel(path, "<u4")
+    for text in ("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>x", "<|endoftext", "a <|endoftext|>\n\nb  c"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_empty(none, spark, tmp_path):
     assert token_files.write_token_files(none, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json")).count() == 0
     assert token_files.read_token_files(spark, f"file://{tmp_path}/t").count() == 0
