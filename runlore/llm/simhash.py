@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import session_setup, text_key, written
+from runlore.llm.common import scratch, session_setup, text_key, written
 from runlore.llm.components import connected_components
-from runlore.llm.similar_sets import set_nodes, set_rows, similar_components
+from runlore.llm.similar_sets import set_nodes, similar_components
 
 BITS = 64
 SEED = 42
@@ -203,16 +203,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_distance: int = 2, simi
     are candidates that are verified, and an exact join adds what they leave out. fp is then a digest of the set, so that
     only equal sets are one without a comparison.
     """
-    if similarity is not None:
-        made = written(set_rows(docs, words, similarity), "sets")
-        rows = made.select("doc_id", "key", F.col("node").alias("fp"))
-        nodes = set_nodes(docs, made, words, similarity)
-        classes = nodes.select(F.col("node").alias("fp"), "least")
-        roots = similar_components(docs, nodes, words, similarity, max_distance).withColumnRenamed("node", "fp")
-    else:
-        rows = written(fingerprints(docs, words), "fingerprints")
-        classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-        roots = connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp")
-    of = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    return rows.join(written(of.join(least, "root").select("fp", "root", "component_id"), "classes"), "fp")
+    with scratch(docs.sparkSession):
+        if similarity is not None:
+            rows, nodes = set_nodes(docs, words, similarity)
+            classes = nodes.select(F.col("node").alias("fp"), "least")
+            roots = similar_components(docs, nodes, words, similarity, max_distance).withColumnRenamed("node", "fp")
+        else:
+            rows = written(fingerprints(docs, words), "fingerprints")
+            classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+            roots = connected_components(links(classes, max_distance)).withColumnRenamed("node", "fp")
+        of = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        classes = written(of.join(least, "root").select("fp", "root", "component_id"), "classes")
+        return written(rows.join(classes, "fp"), "groups", keep=True)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import session_setup, text_key, written
+from runlore.llm.common import scratch, session_setup, text_key, written
 from runlore.llm.components import connected_components
 from runlore.llm.words import run_hashes, word_hashes
 
@@ -109,29 +109,34 @@ def set_rows(docs: DataFrame, words: int, similarity: float, late=None, asked=No
     return rows.mapInArrow(run, "doc_id long, key long, node long, n int, " + ("shingles binary" if whole else "fp long, prefix array<long>"))
 
 
-def set_nodes(docs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """node, key (of one text), n, least (doc_id), fp, prefix: distinct sets, with common shingles last in the order."""
+def set_nodes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, fp (a node) of every row of docs; and the nodes, distinct sets: node, key (of one text), n, least
+    (doc_id), fp, prefix with common shingles last in the order."""
     spark = docs.sparkSession
-    nodes = written(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
-    own = F.slice("prefix", 1, F.greatest(F.size("prefix") - SLACK, F.lit(1)))  # about the prefix; any choice of common ones is right
-    common = written(nodes.where("n > 0").select(F.explode(own).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key"), "common")
-    late = spark.sparkContext.broadcast(slots_of(common))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in b.column(2)]
-            own = [settled(x, n, similarity, late.value) for x, n in zip(known, b.column(1).to_pylist(), strict=True)]
-            stale = pa.array([x is None for x in own], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), stale, pa.array([() if x is None else x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["node", "stale", "prefix"])
-
-    rest = nodes.drop("prefix")
-    new = written(nodes.select("node", "n", "prefix").mapInArrow(settle, "node long, stale boolean, prefix array<long>").join(rest, "node"), "nodes")
-    stale = new.where("stale")
-    if stale.isEmpty():
-        return new.drop("stale")
-    asked = spark.sparkContext.broadcast(slots_of(stale.select("key")))
-    anew = set_rows(docs, words, similarity, late, asked).groupBy("node").agg(F.first("prefix").alias("prefix"))
-    return written(new.where("not stale").drop("stale").unionByName(stale.drop("stale", "prefix").join(anew, "node")), "nodes")
+    with scratch(spark):
+        made = written(set_rows(docs, words, similarity), "sets")
+        rows = written(made.select("doc_id", "key", F.col("node").alias("fp")), "rows", keep=True)
+        nodes = made.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+        nodes = written(nodes, "nodes", keep=True)
+    with scratch(spark):
+        own = F.slice("prefix", 1, F.greatest(F.size("prefix") - SLACK, F.lit(1)))  # about the prefix; any choice of common ones is right
+        common = written(nodes.where("n > 0").select(F.explode(own).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key"), "common")
+        late = spark.sparkContext.broadcast(slots_of(common))
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                known = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in b.column("prefix")]
+                own = [settled(x, n, similarity, late.value) for x, n in zip(known, b.column("n").to_pylist(), strict=True)]
+                stale = pa.array([x is None for x in own], pa.bool_())
+                prefixes = pa.array([() if x is None else x.view(np.int64) for x in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], prefixes, stale], [*b.schema.names, "stale"])
+
+        kinds = "node long, key long, n int, least long, fp long, prefix array<long>"
+        new = written(nodes.select("node", "key", "n", "least", "fp", "prefix").mapInArrow(settle, kinds + ", stale boolean"), "settled", keep=True)
+        sound, stale = new.where("not stale").drop("stale"), new.where("stale").drop("stale", "prefix")
+        asked = spark.sparkContext.broadcast(slots_of(stale.select("key")))
+        anew = set_rows(docs, words, similarity, late, asked).join(stale.select("node"), "node", "left_semi").groupBy("node").agg(F.first("prefix").alias("prefix"))
+        return rows, sound.unionByName(written(stale.join(anew, "node"), "renewed", keep=True))
 
 
 def simhash_pairs(nodes: DataFrame, max_distance: int) -> DataFrame:
@@ -171,7 +176,8 @@ def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity
     for end in ("src", "dst"):
         pairs = pairs.join(crowded.select(F.col("node").alias(end), F.col("common").alias(f"{end}_common")), end, "left")
     unseen = F.least(F.coalesce("src_common", F.lit(0)), F.coalesce("dst_common", F.lit(0)))
-    pairs = pairs.where(F.col("same") + unseen >= need).select("src", "dst").unionByName(simhash_pairs(nodes, max_distance))
+    pairs = pairs.where(F.col("same") + unseen >= need).select("src", "dst")
+    pairs = written(pairs, "pairs").unionByName(written(simhash_pairs(nodes, max_distance), "probed"))
     candidates = written(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates")
 
     ends = candidates.select(F.col("src").alias("node")).unionByName(candidates.select(F.col("dst").alias("node"))).unionByName(crowded.select("node")).distinct()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import session_setup, text_key, written
+from runlore.llm.common import scratch, session_setup, text_key, written
 from runlore.llm.words import folded, run_hashes, word_hashes
 
 #: A word with the ASCII white space after it.
@@ -178,7 +178,9 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, within: bool = False) -
     if min_words < 1:
         raise ValueError("min_words must be positive")
     session_setup(docs.sparkSession)
-    found = repeated_ranges(docs, min_words, within).select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "whole", "ranges")
+    with scratch(docs.sparkSession):
+        found = written(repeated_ranges(docs, min_words, within), "found", keep=True)
+    found = found.select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "whole", "ranges")
     kept = [c for c in docs.columns if c not in ("removed_spans", "removed_words")]
     # The row travels in a struct, so that no column of its own can clash with those of the join.
     left = docs.select(F.struct(*kept).alias("row"), *_keyed(docs)[:2])
