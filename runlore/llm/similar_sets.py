@@ -31,7 +31,7 @@ from runlore.llm.words import run_hashes, word_hashes
 #: A shingle that up to so many prefixes share is paired out; of more, sets go by pivots first. Both are exact.
 PAIRED = 48
 #: Sets in a block of sketches that are compared at once.
-BLOCK = 1024
+BLOCK = 4096
 #: Slots of a sketch. More turn away more; the result does not depend on it.
 SKETCH = 2048
 #: Shingles that are kept beyond a set's prefix, so that the prefix is still known when common ones move to the end.
@@ -110,14 +110,15 @@ def set_rows(docs: DataFrame, words: int, similarity: float, late=None, asked=No
 
 
 def set_nodes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """doc_id, key, fp (a node) of every row of docs; and the nodes, distinct sets: node, key (of one text), n, least
-    (doc_id), fp, prefix with common shingles last in the order."""
+    """doc_id, key, fp (a node) of every row of docs; and the nodes, distinct sets: node, n, least (doc_id) and key
+    of the text of its first document, fp, prefix with common shingles last in the order."""
     spark = docs.sparkSession
     with scratch(spark):
         made = written(set_rows(docs, words, similarity), "sets")
         rows = written(made.select("doc_id", "key", F.col("node").alias("fp")), "rows", keep=True)
-        nodes = made.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-        nodes = written(nodes, "nodes", keep=True)
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+        nodes = made.groupBy("node").agg(F.min(place).alias("p"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+        nodes = written(nodes.select("node", "p.key", "n", F.col("p.doc_id").alias("least"), "fp", "prefix"), "nodes", keep=True)
     with scratch(spark):
         own = F.slice("prefix", 1, F.greatest(F.size("prefix") - SLACK, F.lit(1)))  # about the prefix; any choice of common ones is right
         common = written(nodes.where("n > 0").select(F.explode(own).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key"), "common")
@@ -135,10 +136,17 @@ def set_nodes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame
         new = written(nodes.select("node", "key", "n", "least", "fp", "prefix").mapInArrow(settle, kinds + ", stale boolean"), "settled", keep=True)
         sound, stale = new.where("not stale").drop("stale"), new.where("stale").drop("stale", "prefix")
         asked = spark.sparkContext.broadcast(slots_of(stale.select("key")))
-        anew = set_rows(docs, words, similarity, late, asked).join(stale.select("node"), "node", "left_semi").groupBy("node").agg(F.first("prefix").alias("prefix"))
+        anew = set_rows(docs, words, similarity, late, asked)
+        anew = first_rows(anew, stale).groupBy("node").agg(F.first("prefix").alias("prefix"))
         return rows, sound.unionByName(written(stale.join(anew, "node"), "renewed", keep=True))
 
 
+def first_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of set rows those of the nodes' first documents, so that a large group of copies is not gathered again."""
+    named = nodes.select(F.col("node").alias("own"), "least")
+    return rows.join(named, (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+
+
 def simhash_pairs(nodes: DataFrame, max_distance: int) -> DataFrame:
     """src, dst: nodes whose fingerprints are equal or linked, enough of them to connect all that are."""
     from runlore.llm.simhash import links
@@ -181,9 +189,9 @@ def similar_components(docs: DataFrame, nodes: DataFrame, words: int, similarity
     candidates = written(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "candidates")
 
     ends = candidates.select(F.col("src").alias("node")).unionByName(candidates.select(F.col("dst").alias("node"))).unionByName(crowded.select("node")).distinct()
-    ends = written(nodes.select("node", "key").join(ends, "node", "left_semi"), "ends")
+    ends = written(nodes.select("node", "key", "least").join(ends, "node", "left_semi"), "ends")
     asked = spark.sparkContext.broadcast(slots_of(ends))
-    sets = set_rows(docs, words, similarity, None, asked, whole=True).join(ends.select("node"), "node", "left_semi")
+    sets = first_rows(set_rows(docs, words, similarity, None, asked, whole=True), ends)
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     edges = written(verified(candidates, sets, similarity), "edges")
     if crowded.isEmpty():
@@ -242,10 +250,10 @@ def block_pairs(todo: DataFrame, similarity: float, best: bool) -> DataFrame:
     todo: part, node, n, root, main, sharers, sketch. A part's sets are dealt into blocks of about BLOCK; a task compares
     two blocks of a part, so its memory is bounded, and a part that many share is work for many tasks."""
     blocks = F.ceil(F.col("sharers") / F.lit(BLOCK)).cast("int")
-    todo = todo.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "rest": F.col("root") != F.col("main"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    columns = ["part", "node", "n", "root", "rest", "sketch"]
-    first = todo.where("rest").select(*columns, F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"))
-    second = todo.select(*columns, F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+    todo = todo.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "rest": F.col("root") != F.col("main"), "blocks": blocks})
+    columns, other = ["part", "node", "n", "root", "rest", "sketch"], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = todo.where("rest").select(*columns, F.col("own").alias("i"), other.alias("j"), F.lit(True).alias("asks"))
+    second = todo.select(*columns, other.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
     most = (1 - similarity) / (1 + similarity)
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -253,8 +261,8 @@ def block_pairs(todo: DataFrame, similarity: float, best: bool) -> DataFrame:
         node, n, root, rest = (rows.column(c).to_numpy() for c in ("node", "n", "root", "rest"))
         bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
         one, two, found = np.flatnonzero(asks), np.flatnonzero(~asks), []
-        for i in range(0, len(one), 32):
-            a = one[i : i + 32]
+        for i in range(0, len(one), 8):
+            a = one[i : i + 8]
             differ = np.bitwise_count(bits[a, None, :] ^ bits[None, two, :]).sum(2, dtype=np.int32)
             na, nb = n[a][:, None].astype(float), n[two][None].astype(float)
             room = most * (na + nb) + 1e-6 - differ
