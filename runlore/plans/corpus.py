@@ -99,12 +99,12 @@ def rule_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.withColumn("hit", hit).groupBy("rule_id", "bucket").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(h, E' \\n\\t\\r\\x0b\\x0c')), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS slug, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '…' END AS label,
-  CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 500) || chr(10) || '... (' || (length(text) - 1000) || ' characters omitted) ...' || chr(10) || right(text, 500) END AS elided, rtrim(left(trim(regexp_replace(h, '[^A-Za-z0-9._-]+', '-', 'g'), '-.'), 40), '-.') AS run_slug
-FROM (SELECT doc_id, text, left(text, 150) AS h FROM documents WHERE text <> '')""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text, E' \\n\\t\\r\\x0b\\x0c')), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS slug, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '…' END AS label,
+  CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 500) || chr(10) || '... (' || (length(text) - 1000) || ' characters omitted) ...' || chr(10) || right(text, 500) END AS elided, rtrim(left(trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '-.'), 40), '-.') AS run_slug
+FROM documents""")
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text <> ''").withColumn("h", F.left("text", F.lit(150)))
-    return d.select("doc_id", T.slug(F.col("h")).alias("slug"), T.label(F.col("text")).alias("label"), T.elide(F.col("text"), 1000).alias("elided"), T.run_slug(F.col("h"), 40).alias("run_slug"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.slug(F.col("text")).alias("slug"), T.label(F.col("text")).alias("label"), T.elide(F.col("text"), 1000).alias("elided"), T.run_slug(F.col("text"), 40).alias("run_slug"))
 
 
 @query("""WITH r AS (SELECT doc_id, n_chars % 14 - 2 AS a, doc_id % 6 AS kind, quality FROM documents JOIN labels USING (doc_id)), s AS (SELECT *, kind < 4 AS ok, greatest(0, least(10, a))::DOUBLE AS x FROM r)

@@ -77,7 +77,7 @@ def test_prompts(spark):
     plans = spark.createDataFrame([("r", "c", "plan"), ("s", "d", "plan")], "run_id string, corpus string, plan_text string")
     tasks = spark.createDataFrame([("r", " truth ")], "id string, reference string")
     out = by(evaluate.prompts(plans, shown, ["corpus"], tasks), "run_id")
-    assert "=== REFERENCE" in out["r"]["prompt"] and "(none supplied)" in out["s"]["prompt"] and "=== REFERENCE" not in out["s"]["prompt"]
+    assert "=== EXPECTED PLAN" in out["r"]["prompt"] and "(none supplied)" in out["s"]["prompt"] and "=== EXPECTED PLAN" not in out["s"]["prompt"]
 
 
 def test_conversations(spark, tmp_path):
