@@ -76,7 +76,7 @@ def passages(df):
     return {r["doc_id"]: (r["text"], [(s["words"], s["keeper"]) for s in r["removed_spans"] or ()]) for r in df.collect()}
 
 
-@pytest.mark.parametrize(("least", "within"), [(1, False), (7, False), (50, False), (50, True), (20, True)])
+@pytest.mark.parametrize(("least", "within"), [(7, False), (50, False), (20, True)])
 def test_passages_against_brute_force(docs, rows, least, within):
     want = brute_passages(list(rows.items()), least, within)
     assert passages(substring_dedup.dedup_passages(docs, least, within)) == {i: (t, [(b - a, k) for a, b, k in r]) for i, (t, r) in want.items()}
@@ -96,7 +96,7 @@ def test_planted_passages_against_brute_force(spark, least):
             parts.insert(int(rng.integers(0, len(parts) + 1)), planted[rng.integers(len(planted))].swapcase() if rng.random() < 0.3 else planted[rng.integers(len(planted))])
         rows.append((i, str(rng.choice(["", " ", "\n"])) + str(rng.choice([" ", "\n", " \t "])).join(parts)))
     rows += [(200 + i, rows[i][1]) for i in range(0, 120, 9)] + [(300, None), (301, "")]
-    for within in (False, True):
+    for within in (False, True) if least == 12 else (False,):
         want = brute_passages(rows, least, within)
         got = passages(substring_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), least, within))
         assert got == {i: (t, [(b - a, k) for a, b, k in r]) for i, (t, r) in want.items()}
