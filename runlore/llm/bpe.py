@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from runlore.llm.common import session_setup
 from runlore.llm.pieces import Pieces
 
-#: Pairs of tokens that a worker remembers; beyond that it starts anew. Results don't depend on it.
-MEMO = 400_000
+#: Pairs of tokens and pieces of text that a worker remembers; beyond that it starts anew. Results don't depend on it. A
+#: worker keeps them while other operators run in it, so they are to stay within some 60 MB.
+MEMO = 150_000
 
 RESULT = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long"
@@ -57,7 +58,7 @@ class BytePairs:
         self.automaton.make_automaton()
         self.shorter = {r: self._shorter(self.bytes_of[r]) for r in self.halves}
         self._follows: dict[tuple[int, int], bool] = {}
-        self.encode = Pieces(pattern, self.piece_ids).encode
+        self.encode = Pieces(pattern, self.piece_ids, MEMO).encode
 
     def _merge(self, token: bytes, limit: int) -> list[int]:
         """The ids left of a token when merges of a rank under limit are done, lowest rank and leftmost first."""

@@ -19,14 +19,15 @@ _PLAIN_SPLIT = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|'(?:[stmd]|re
 class Pieces:
     """Encodes texts piece by piece: encode gives a piece's ids as bytes, and is asked once for a piece that is remembered."""
 
-    def __init__(self, pattern: str, encode: Callable[[str], bytes]):
+    def __init__(self, pattern: str, encode: Callable[[str], bytes], most: int = MEMO):
+        self._most = most
         self._split, self._plain, self._encode = regex.compile(pattern).findall, pattern == SPLIT, encode
         self._known: dict[str, bytes] = {}
 
     def _new(self, piece: str) -> bytes:
         ids = self._encode(piece)
         if len(piece) <= 64:
-            if len(self._known) >= MEMO:
+            if len(self._known) >= self._most:
                 self._known.clear()
             self._known[piece] = ids
         return ids

@@ -200,7 +200,9 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, within: bool = False) -
             out.append(without(t, all_) if all_ else (t, None))
         return pd.DataFrame(out, columns=["text", "spans"], dtype=object)
 
-    # Only the texts that change go to Python.
+    # Only the texts that change go to Python, and once: Spark repeats a deterministic function for a filter on its result,
+    # each time with Python workers of its own.
+    cut = cut.asNondeterministic()
     changes = F.col("ranges").isNotNull()
     joined = joined.withColumn("cut", cut(F.when(changes, F.col("row.text")), F.col("whole"), F.col("ranges")))
     edited = F.col("cut.spans").isNotNull()
