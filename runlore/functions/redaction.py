@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import ahocorasick
 import pandas as pd
@@ -26,6 +28,20 @@ BUILT_IN = [
 ]
 #: Of the last, the value alone goes: which secret was set stays legible.
 KEPT_AROUND = {"secret_assignment": "value"}
+#: Strings of which a text holds one where the label's rule can match; those of FOLDED are sought in the lower-cased text.
+GATES = {
+    "private_key": ["PRIVATE KEY-----"],
+    "api_key": ["sk-", "pk-"],
+    "aws_access_key_id": ["AKIA", "ASIA"],
+    "github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "google_api_key": ["AIza"],
+}
+FOLDED = {
+    "bearer_token": ["authorization:"],
+    "secret_assignment": ["password", "passwd", "secret", "apikey", "api_key", "api-key", "accesstoken", "access_token", "access-token"],
+}
+#: Letters beyond ASCII that equal an ASCII one where case is ignored: texts with one always meet the rules of FOLDED.
+EQUAL_LETTERS = "\u0130\u0131\u017f\u212a"
 
 
 def placeholder(label: str) -> str:
@@ -48,6 +64,15 @@ def replace(pattern: re.Pattern[str], label: str, group: int | str | None, stric
     return pattern.sub(one, text)
 
 
+def due_rules(text: str) -> set[str]:
+    """Labels of the built-in rules that can match a text. Placeholders bring in no string of a gate that a later rule
+    could match at, so the gates of the original text hold for all rules."""
+    low = text.lower()
+    odd = any(c in text for c in EQUAL_LETTERS)
+    due = {label for label, parts in GATES.items() if any(p in text for p in parts)}
+    return due | {label for label, parts in FOLDED.items() if odd or any(p in low for p in parts)}
+
+
 def apply_rule(rule, pattern: re.Pattern[str], text: str) -> str:
     return replace(pattern, rule.label, rule.group, isinstance(rule.group, str), text)
 
@@ -72,8 +97,10 @@ class Redactor:
             self.words.make_automaton()
 
     def __call__(self, text: str) -> str:
+        gates = due_rules(text)
         for pattern, label, group in self.first:
-            text = replace(pattern, label, group, True, text)
+            if label in gates:
+                text = replace(pattern, label, group, True, text)
         # The keywords are those of the text after the built-in rules.
         due = set(self.always)
         if len(self.words):
@@ -112,16 +139,29 @@ def redact(text: Column, vendor: list = (), operator: list = ()) -> Column:
 
 
 def redact_built_in(text: Column) -> Column:
-    """The built-in rules alone, in the JVM: Python's meaning of classes and line ends is asked for by (?U) and (?d)."""
-    out = text.cast("string")
+    """The built-in rules alone, in the JVM: Python's meaning of classes and line ends is asked for by (?U) and (?d). A
+    rule's pattern runs on texts that pass its gate."""
+    whole = text.cast("string")
+    return F.transform(F.array(F.struct(whole.alias("text"), F.lower(whole).alias("low"))), lambda r: _built_in(r["text"], r["low"]))[0]
+
+
+def _built_in(text: Column, low: Column) -> Column:
+    holds = lambda where, parts: reduce(or_, (F.contains(where, F.lit(p)) for p in parts))
+    gates = {label: holds(text, parts) for label, parts in GATES.items()} | {label: holds(low, parts) | holds(text, EQUAL_LETTERS) for label, parts in FOLDED.items()}
+    out = text
     for label, pattern in BUILT_IN:
         java = pattern.replace("(?P<", "(?<").replace("(?P=quote)", "\\k<quote>")
         flags = "(?Uud)" if java.startswith("(?i)") else "(?Ud)"
         kept = "${key}${sep}${quote}" + placeholder(label) + "${quote}" if label in KEPT_AROUND else placeholder(label)
-        out = F.regexp_replace(out, flags + java, kept)
+        out = _gated(out, gates[label], flags + java, kept)
     return out
 
 
+def _gated(text: Column, gate: Column, rule: str, by: str) -> Column:
+    """A lambda's argument, so that a rule's input is computed once and not in both branches."""
+    return F.transform(F.array(text), lambda t: F.when(gate, F.regexp_replace(t, rule, by)).otherwise(t))[0]
+
+
 def matches(text: Column, regexes: dict[str, str], label: Column) -> Column:
     """Whether the rule of a label matches a text; null for a label without a rule."""
 

@@ -1,12 +1,14 @@
 """Text rules, redaction, front matter, replies, rendering, artifacts and outcomes."""
 
+import re
+
 import pytest
 from helpers import by, event, write_lines
 from pyspark.sql import functions as F
 
 from runlore.functions import text as T
 from runlore.functions.frontmatter import split
-from runlore.functions.redaction import redact, redact_built_in
+from runlore.functions.redaction import BUILT_IN, KEPT_AROUND, redact, redact_built_in, replace
 from runlore.operators import artifacts, evaluate, lineage, outcomes, render
 from runlore.sources import conversations
 from runlore.sources.rules import RuleError, operator_rules, vendor_rules
@@ -25,6 +27,22 @@ def test_redaction(spark):
     assert {k: v["py"] for k, v in by(again, "i").items()} == {k: v["py"] for k, v in out.items()}
 
 
+def test_gates_lose_nothing(spark):
+    """Gated rules give what all rules in order give, in the JVM and in Python; the letters that equal ASCII ones count."""
+    odd = ["PA\u017f\u017fWORD: abcdefgh", "author\u0130zation: bearer abcdefgh1", "TO\u212aEN", "Acces\u017f_To\u212aen = 'abcdefg'", "api-key=[x]abcdef", "secret: sk-" + "b" * 30, "password=AKIA" + "A" * 16, "", "gh_p", "pk-a" * 9, "-----BEGIN PRIVATE KEY-----password=\n-----END PRIVATE KEY-----=abcdefgh"]
+    texts = SECRETS + odd + [a + sep + b for a in SECRETS for b in SECRETS + odd for sep in ("", "\n", "=")]
+    patterns = [(re.compile(p), label, KEPT_AROUND.get(label)) for label, p in BUILT_IN]
+
+    def ungated(text):
+        for pattern, label, group in patterns:
+            text = replace(pattern, label, group, True, text)
+        return text
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    out = by(rows.select("i", redact_built_in(F.col("s")).alias("jvm"), redact(F.col("s")).alias("py")), "i")
+    assert [(i, out[i]["jvm"], out[i]["py"]) for i in out] == [(i, ungated(texts[i]), ungated(texts[i])) for i in out]
+
+
 def test_vendor_gate_and_groups(spark):
     rules = vendor_rules({"rules": [{"id": "b-hex", "regex": "(?:x|[a-f0-9]{40})", "keywords": ["SGP_"]}, {"id": "a-key", "regex": r"key=(k[0-9]{4})[;]", "keywords": ["key="]}]})
     assert [r.label for r in rules] == ["a-key", "b-hex"]
