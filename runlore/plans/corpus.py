@@ -71,9 +71,8 @@ fold AS (SELECT corpus, -1::BIGINT AS i, 240000::BIGINT AS remaining, 0::BIGINT
 SELECT corpus, i, most FROM fold WHERE i >= 0""")
 def excerpt_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("corpus"), "conv_id", "turn", F.length(F.repeat(F.coalesce("text", F.lit("")), 60)).alias("n"))
-    sizes = rows.groupBy("corpus").agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn", "n"))).alias("s"))
-    out = sizes.select("corpus", F.posexplode(evaluate.allowances(F.transform("s", lambda x: x["n"]))).alias("i", "most"))
-    return out.select("corpus", F.col("i").cast("long").alias("i"), F.col("most").cast("long").alias("most"))
+    out = evaluate.budgets(rows, ["corpus"], ["conv_id", "turn"])
+    return out.select("corpus", F.col("position").alias("i"), "most")
 
 
 @query(r"""SELECT doc_id, replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' AKIA' || repeat('A', 16) WHEN 1 THEN ' ghp_' || repeat('b', 20) || ' password = "hunter' || doc_id || '"' WHEN 2 THEN ' Authorization: Bearer abcdefgh' || doc_id ELSE '' END,

@@ -46,14 +46,16 @@ def run_payload(events: DataFrame, run_keys: list[str] = RUN) -> DataFrame:
     return plans.join(facts, run_keys).join(rubric, run_keys).join(meta, run_keys, "left")
 
 
-def score_runs(events: DataFrame, transcripts: DataFrame, corpus: str, tasks: DataFrame | None = None, judge: Callable[[str], str] | None = None, run_keys: list[str] = RUN) -> DataFrame:
-    """A score row for each run of events, judged against the transcripts (corpus, transcript_index, text) of one corpus,
-    which applies to all of them. Empty transcripts are refused. judge answers prompts in the tasks; by default a stub."""
+def score_runs(events: DataFrame, transcripts: DataFrame, corpus: str | None, tasks: DataFrame | None = None, judge: Callable[[str], str] | None = None, run_keys: list[str] = RUN) -> DataFrame:
+    """A score row for each run of events, judged against the transcripts (corpus, transcript_index, text) of one corpus
+    for all of them or, with None, of its project. Empty transcripts are refused. judge answers prompts in the tasks; by default a stub."""
     if transcripts.where(runs.blank(F.col("text"))).limit(1).count():
         raise ValueError("a transcript is empty")
-    plans = evaluate.plan_texts(runs.assembled(events, run_keys), labels.run_labels(events, run_keys), run_keys).withColumn("corpus", F.lit(corpus))
-    asked = evaluate.prompts(plans, evaluate.excerpts(transcripts, ["corpus"]), ["corpus"], tasks, run_keys)
+    plans = evaluate.plan_texts(runs.assembled(events, run_keys), labels.run_labels(events, run_keys), run_keys)
     meta = timeline.run_clock(events, run_keys)
+    project = basename(V.as_str(V.get(F.col("meta"), "$.project_dir")))
+    plans = plans.withColumn("corpus", F.lit(corpus)) if corpus is not None else plans.join(meta.select(*run_keys, project.alias("corpus")), run_keys, "left")
+    asked = evaluate.prompts(plans, evaluate.excerpts(transcripts, ["corpus"]), ["corpus"], tasks, run_keys)
     facts = meta.select(*run_keys, V.as_int(V.get(F.col("meta"), "$.transcripts")).alias("n_transcripts"), *(c.alias(n) for n, c in timeline.composition(F.col("meta")).items()))
     return evaluate.score_rows(evaluate.parse_replies(evaluate.judged(asked, judge)), facts, run_keys)
 
@@ -79,6 +81,6 @@ def redacted_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TRACE_SQL + "SELECT run_id, 5.0::DOUBLE AS \"TF\", 5.0::DOUBLE AS \"PA\", NULL::VARCHAR AS unscored_reason, (SELECT min_by(k, step) FROM ev e WHERE e.run_id = r.run_id AND e.type = 'run_start') AS n_transcripts FROM runs r")
 def stub_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = numbered_conversations(spark, sf_dir).where("text <> ''").select(F.lit("p").alias("corpus"), F.col("conv_id").alias("transcript_index"), "text")
-    out = score_runs(trace_events(spark, sf_dir), texts, "p")
+    texts = numbered_conversations(spark, sf_dir).where("text <> ''").select(F.col("project").alias("corpus"), "transcript_index", "text")
+    out = score_runs(trace_events(spark, sf_dir), texts, None)
     return out.select("run_id", "TF", "PA", "unscored_reason", "n_transcripts")

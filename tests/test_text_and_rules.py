@@ -1,5 +1,6 @@
 """Text rules, redaction, front matter, replies, rendering, artifacts and outcomes."""
 
+import random
 import re
 
 import pytest
@@ -75,6 +76,27 @@ def test_text(spark):
     assert r["f"] == "ab\n... (6 characters omitted) ...\nij" and r["g"] == "b"
 
 
+def test_budgets_equal_the_fold(spark):
+    """Against a fold over each corpus: no, many and long entries, those that just fit, and a rest that many could take."""
+    pick = random.Random(7)
+    corpora = {
+        "none over": [5, 0, 100], "long": [70_000] * 6 + [0, 1], "exact": [60_000] * 4 + [0, 1, 0], "rest": [60_000] * 3 + [58_500, 1_501, 700, 1_400, 700, 0, 101, 100, 0, 1, 0],
+        "small": [60_000] * 3 + [59_000] + [pick.randint(1, 1_500) for _ in range(400)], "same": [60_000] * 3 + [58_100, 60_001] + [3] * 900, "mixed": [pick.choice([0, 10, 1_999, 2_000, 30_000, 59_999, 61_000]) for _ in range(300)],
+    }
+    want = {}
+    for name, lengths in corpora.items():
+        left = 240_000
+        for i, n in enumerate(lengths):
+            most = min(60_000, left)
+            stub = n > most and most < 2_000
+            want[name, i] = (i, -1 if stub else most)
+            left -= 0 if stub else min(n, most)
+    rows = spark.createDataFrame([(c, i * 7, n) for c, ns in corpora.items() for i, n in enumerate(ns)], "corpus string, at long, n int")
+    out = evaluate.budgets(rows.repartition(5), ["corpus"], ["at"]).collect()
+    assert {(r["corpus"], r["at"] // 7): (r["position"], r["most"]) for r in out} == want and len(out) == len(want)
+    assert evaluate.budgets(rows.limit(0), ["corpus"], ["at"]).count() == 0
+
+
 def test_replies(spark):
     good = '{"scores": {"TF": 11, "TA": -1, "TG": 3, "PA": 4.5}, "notes": "n"}'
     cases = [good, f"```json\n{good}\n```", f"so: {good} ok", good.replace("11", "true"), good.replace("11", "NaN"), good.replace("11", "Infinity"), "none", good.replace('"TF": 11, ', ""), '{"scores": 3}', None, "{bad}"]
