@@ -1,14 +1,33 @@
-"""The folder that driver and executors share, for results of streams."""
+"""The folder that driver and executors share, and tables that are written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path under spark.checkpoint.dir that nothing else uses; a new local folder only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset a new local folder, which only a local master's executors can see; on a
+    cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what is built on it does not compute it again, and lineage ends here.
+    The folder is the session's; whoever sets spark.checkpoint.dir clears it."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -78,10 +78,6 @@ def run_plans(events: DataFrame, run_keys: list[str] = RUN) -> DataFrame:
     return last.withColumn("plan", valid_plan(F.parse_json("output"))).drop("output")
 
 
-def all_runs(events: DataFrame, run_keys: list[str] = RUN) -> DataFrame:
-    return events.where("run_id <> ''").select(*run_keys).distinct()
-
-
 def draft_calls(events: DataFrame, run_keys: list[str] = RUN) -> DataFrame:
     """run_keys, tool, artifact_id, draft, ok, cause, errors: the last call of each drafting tool for each artifact."""
     calls = events.where(is_call(*DRAFT_TOOLS)).withColumn("artifact_id", V.as_str(p("artifact_id"))).where("artifact_id <> ''")
@@ -125,15 +121,22 @@ def assembled(events: DataFrame, run_keys: list[str] = RUN) -> DataFrame:
 
     Drafted text is joined from the calls by run, artifact and the tool that the action expects; an id that only the
     other tool drafted, or none, is a problem. Nothing raises: odd candidates are rows with problems. Runs without a
-    valid plan have no rows.
+    valid plan have no rows. The events are read once (layout.laid_out).
     """
-    plans = run_plans(events, run_keys).where("plan is not null")
+    from runlore.operators.layout import assembled_of, laid_out
+
+    return assembled_of(laid_out(events, run_keys), run_keys)
+
+
+def assemble(plans: DataFrame, calls: DataFrame, extra: DataFrame, run_keys: list[str] = RUN) -> DataFrame:
+    """assembled from what run_plans, draft_calls and extra_calls give."""
+    plans = plans.where("plan is not null")
     rows = plans.select(*run_keys, F.posexplode("plan").alias("index", "c")).select(*run_keys, "index", "c.*")
     expected = F.when(F.col("action") == "promote_to_memory", F.lit("draft_memory_file")).when(F.col("action") == "promote_to_skill", F.lit("draft_skill_file"))
     rows = rows.withColumn("tool", expected).withColumn("named", F.coalesce(F.col("artifact_id") != "", F.lit(False)))
     # Both tools' calls of an artifact in one row, so one join answers "drafted", "by the other" and "never".
-    each = draft_calls(events, run_keys).groupBy(*run_keys, "artifact_id").agg(*(F.first(F.when(F.col("tool") == t, F.struct("draft", "ok", "cause", "errors")), ignorenulls=True).alias(t) for t in DRAFT_TOOLS))
-    extras = extra_calls(events, run_keys).groupBy(*run_keys, "artifact_id").agg(F.sort_array(F.collect_list(F.struct("seen", "relative_path", "draft", "ok", "cause", "errors"))).alias("extras"))
+    each = calls.groupBy(*run_keys, "artifact_id").agg(*(F.first(F.when(F.col("tool") == t, F.struct("draft", "ok", "cause", "errors")), ignorenulls=True).alias(t) for t in DRAFT_TOOLS))
+    extras = extra.groupBy(*run_keys, "artifact_id").agg(F.sort_array(F.collect_list(F.struct("seen", "relative_path", "draft", "ok", "cause", "errors"))).alias("extras"))
     out = rows.join(each, [*run_keys, "artifact_id"], "left").join(extras, [*run_keys, "artifact_id"], "left")
     skill = F.col("action") == "promote_to_skill"
     promotes = F.col("tool").isNotNull()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlore.functions import variants as V
 from runlore.functions.redaction import redact
 from runlore.functions.text import basename
-from runlore.operators import evaluate, labels, runs, timeline
+from runlore.operators import evaluate, labels, layout, runs, timeline
 from runlore.operators.runs import RUN
 from runlore.plans.corpus import conversation_texts, numbered_conversations
 from runlore.plans.derived import TRACE_SQL, trace_events
@@ -37,13 +37,16 @@ def redacted_instructions(texts: DataFrame, vendor: list[Rule] = (), operator: l
 
 def run_payload(events: DataFrame, run_keys: list[str] = RUN) -> DataFrame:
     """run_keys, plan (its text), facts and criteria (JSON), project (the path's last part), transcript_index (JSON)."""
-    facts = labels.trace_facts(events, run_keys)
+    slots = layout.laid_out(events, run_keys)
+    facts = labels.facts_of(slots, run_keys)
     named = [c for c in facts.columns if c not in run_keys]
     facts = facts.select(*run_keys, F.to_json(F.struct(*named), {"ignoreNullFields": "false"}).alias("facts"))
-    rubric = labels.rubrics(events, run_keys).select(*run_keys, F.to_json("criteria").alias("criteria"))
-    plans = evaluate.plan_texts(runs.assembled(events, run_keys), labels.run_labels(events, run_keys), run_keys).withColumnRenamed("plan_text", "plan")
-    meta = timeline.run_clock(events, run_keys).select(*run_keys, basename(V.as_str(V.get(F.col("meta"), "$.project_dir"))).alias("project"), F.to_json(V.get(F.col("meta"), "$.transcript_index")).alias("transcript_index"))
-    return plans.join(facts, run_keys).join(rubric, run_keys).join(meta, run_keys, "left")
+    rubric = labels.rubrics_of(slots, run_keys).select(*run_keys, F.to_json("criteria").alias("criteria"))
+    plans = evaluate.plan_texts(layout.assembled_of(slots, run_keys), labels.labels_of(slots, run_keys), run_keys)
+    meta = layout.run_rows(slots, run_keys).select(*run_keys, F.parse_json(F.coalesce("shown_meta", F.lit("{}"))).alias("meta"))
+    project = basename(V.as_str(V.get(F.col("meta"), "$.project_dir"))).alias("project")
+    meta = meta.select(*run_keys, project, F.to_json(V.get(F.col("meta"), "$.transcript_index")).alias("transcript_index"))
+    return plans.withColumnRenamed("plan_text", "plan").join(facts, run_keys).join(rubric, run_keys).join(meta, run_keys, "left")
 
 
 def score_runs(events: DataFrame, transcripts: DataFrame, corpus: str | None, tasks: DataFrame | None = None, judge: Callable[[str], str] | None = None, run_keys: list[str] = RUN) -> DataFrame:
@@ -51,8 +54,9 @@ def score_runs(events: DataFrame, transcripts: DataFrame, corpus: str | None, ta
     for all of them or, with None, of its project. Empty transcripts are refused. judge answers prompts in the tasks; by default a stub."""
     if transcripts.where(runs.blank(F.col("text"))).limit(1).count():
         raise ValueError("a transcript is empty")
-    plans = evaluate.plan_texts(runs.assembled(events, run_keys), labels.run_labels(events, run_keys), run_keys)
-    meta = timeline.run_clock(events, run_keys)
+    slots = layout.laid_out(events, run_keys)
+    plans = evaluate.plan_texts(layout.assembled_of(slots, run_keys), labels.labels_of(slots, run_keys), run_keys)
+    meta = layout.run_rows(slots, run_keys).select(*run_keys, F.parse_json(F.coalesce("shown_meta", F.lit("{}"))).alias("meta"))
     project = basename(V.as_str(V.get(F.col("meta"), "$.project_dir")))
     plans = plans.withColumn("corpus", F.lit(corpus)) if corpus is not None else plans.join(meta.select(*run_keys, project.alias("corpus")), run_keys, "left")
     asked = evaluate.prompts(plans, evaluate.excerpts(transcripts, ["corpus"]), ["corpus"], tasks, run_keys)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlore.functions import variants as V
-from runlore.functions.text import ANY_LINE_END, PLAIN_LINE_END, lines_of
+from runlore.functions.text import ANY_LINE_END, PLAIN_LINE_END
 from runlore.operators.render import event_line, identified, joined_lines, rollout_line
 from runlore.sources.jsonl import parsed
+from runlore.sources.numbered import read_lines
 
 #: Lines of a rollout in which its session_meta is looked for.
 META_LINES = 50
@@ -19,23 +20,31 @@ def _files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
     return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def _lines(files: DataFrame, ends: str) -> DataFrame:
-    """Lines with v; blank and torn ones have none. A live file's torn last line must not lose the conversation."""
-    return parsed(files.select(*[c for c in files.columns if c != "value"], F.posexplode_outer(lines_of(F.col("value"), ends)).alias("line_no", "line")))
+def _lines(spark: SparkSession, paths: str | list[str], glob: str, ends: str, splits: bool | None) -> DataFrame:
+    """path, line_no, line, v of every line; blank and torn ones have no v. A live file's torn last line must not lose the
+    conversation."""
+    return parsed(read_lines(spark, paths, ends, recursive=True, glob=glob, splits=splits))
 
 
-def rendered(files: DataFrame, keys: list[str], line, ends: str) -> DataFrame:
-    rows = _lines(files, ends).withColumn("shown", line(F.col("v")))
-    return joined_lines(rows, keys, "line_no", "shown")
+def _listed(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
+    """path, modified of every file, from the listing alone: an empty one too."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return reader.load(paths).select(F.col("_metadata.file_path").alias("path"), F.col("modificationTime").alias("modified"))
 
 
-def session_transcripts(spark: SparkSession, storage: str) -> DataFrame:
-    """path, project, session, text of every <storage>/<project>/<session>.jsonl; deeper files are not sessions."""
-    files = _files(spark, storage, "*.jsonl")
-    below = F.regexp_extract("path", "projects/([^/]+)/([^/]+)\\.jsonl$", 1), F.regexp_extract("path", "projects/([^/]+)/([^/]+)\\.jsonl$", 2)
-    files = files.withColumn("project", below[0]).withColumn("session", below[1]).where("session <> ''")
-    text = rendered(files, ["path"], event_line, ANY_LINE_END)
-    return files.select("path", "project", "session").join(text, "path")
+def rendered(files: DataFrame, lines: DataFrame, line) -> DataFrame:
+    """path, text of every one of files; empty where it has no line that shows."""
+    text = joined_lines(lines.withColumn("shown", line(F.col("v"))), ["path"], "line_no", "shown")
+    return files.select("path").join(text, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def session_transcripts(spark: SparkSession, storage: str, splits: bool | None = None) -> DataFrame:
+    """path, project, session, text of every <storage>/<project>/<session>.jsonl; deeper files are not sessions. splits:
+    as for read_lines."""
+    part = lambda i: F.regexp_extract("path", "projects/([^/]+)/([^/]+)\\.jsonl$", i)
+    files = _listed(spark, storage, "*.jsonl").select("path", part(1).alias("project"), part(2).alias("session")).where("session <> ''")
+    lines = _lines(spark, storage, "*.jsonl", ANY_LINE_END, splits).where(part(2) != "")
+    return files.join(rendered(files, lines, event_line), "path")
 
 
 def sidecars(spark: SparkSession, storage: str) -> DataFrame:
@@ -47,17 +56,17 @@ def sidecars(spark: SparkSession, storage: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "\\.meta\\.json$", "").alias("stem"), text("$.agentType").alias("agent_type"), V.as_int(V.get(v, "$.spawnDepth")).alias("depth"), text("$.description").alias("description"), text("$.parentAgentId").alias("parent_agent"))
 
 
-def subagent_transcripts(spark: SparkSession, storage: str, sessions: DataFrame) -> DataFrame:
+def subagent_transcripts(spark: SparkSession, storage: str, sessions: DataFrame, splits: bool | None = None) -> DataFrame:
     """path, project, session, id, subpath, workflow, agent_type, depth, description, parent_agent, text of every
     agent-*.jsonl below a session that is present."""
-    files = _files(spark, storage, "agent-*.jsonl")
     place = "projects/([^/]+)/([^/]+)/(subagents/(?:.*/)?agent-([^/]*))\\.jsonl$"
     part = lambda i: F.regexp_extract("path", place, i)
-    files = files.select("path", "value", part(1).alias("project"), part(2).alias("session"), part(3).alias("subpath"), part(4).alias("id")).where("session <> ''")
+    files = _listed(spark, storage, "agent-*.jsonl").select("path", part(1).alias("project"), part(2).alias("session"), part(3).alias("subpath"), part(4).alias("id")).where("session <> ''")
     files = files.join(sessions.select("project", "session").distinct(), ["project", "session"], "left_semi")
     workflow = F.regexp_extract("subpath", "(?:^|/)workflows/([^/]+)/", 1)
-    text = rendered(files, ["path"], lambda v: event_line(v, include_sidechain=True), ANY_LINE_END)
-    rows = files.drop("value").withColumn("workflow", F.when(workflow != "", workflow)).withColumn("stem", F.regexp_replace("path", "\\.jsonl$", ""))
+    lines = _lines(spark, storage, "agent-*.jsonl", ANY_LINE_END, splits)
+    text = rendered(files, lines, lambda v: event_line(v, include_sidechain=True))
+    rows = files.withColumn("workflow", F.when(workflow != "", workflow)).withColumn("stem", F.regexp_replace("path", "\\.jsonl$", ""))
     return rows.join(sidecars(spark, storage), "stem", "left").drop("stem").join(text, "path")
 
 
@@ -77,17 +86,25 @@ def corpora(spark: SparkSession, storage: str, include_subagents: bool = False)
     return identified(own.unionByName(agents, allowMissingColumns=True), ["project"]).select(*out)
 
 
-def rollouts(spark: SparkSession, storage: str, projects: DataFrame | None = None) -> DataFrame:
-    """path, cwd, text of every rollout-*.jsonl. cwd: of the first session_meta in the first META_LINES lines; null if
-    that one is malformed, as no later one is tried. projects (cwd): only rollouts recorded in one of them; the others'
-    lines are read but not rendered."""
-    files = _files(spark, storage, "rollout-*.jsonl")
-    lines = _lines(files, PLAIN_LINE_END)
+def first_cwds(lines: DataFrame) -> DataFrame:
+    """path, cwd: of the first session_meta in the first META_LINES lines; null if that one is malformed, as no later one
+    is tried. Files without one have no row."""
     meta = lines.where((F.col("line_no") < META_LINES) & (V.as_str(V.get(F.col("v"), "$.type")) == "session_meta"))
     cwd = V.as_str(V.get(V.get(F.col("v"), "$.payload"), "$.cwd"))
-    first = meta.groupBy("path").agg(F.min_by(F.when(cwd != "", cwd), "line_no").alias("cwd"))
-    known = files.select("path").join(first, "path", "left")
+    return meta.groupBy("path").agg(F.min_by(F.when(cwd != "", cwd), "line_no").alias("cwd"))
+
+
+def rollouts(spark: SparkSession, storage: str, projects: DataFrame | None = None, index: DataFrame | None = None, splits: bool | None = None) -> DataFrame:
+    """path, cwd, text of every rollout-*.jsonl; cwd as first_cwds, or from an index (rollout_index). projects (cwd): only
+    rollouts recorded in one of them; the others' lines are read but not rendered, and with an index not even read."""
+    files = _listed(spark, storage, "rollout-*.jsonl").select("path")
+    if index is not None:
+        known = files.join(index.select("path", "cwd"), "path", "left")
+    else:
+        known = files.join(first_cwds(_lines(spark, storage, "rollout-*.jsonl", PLAIN_LINE_END, splits)), "path", "left")
     if projects is not None:
         known = known.join(projects.select("cwd").distinct(), "cwd", "left_semi")
-        files = files.join(known.select("path"), "path", "left_semi")
-    return known.join(rendered(files, ["path"], rollout_line, PLAIN_LINE_END), "path").select("path", "cwd", "text")
+    lines = _lines(spark, storage, "rollout-*.jsonl", PLAIN_LINE_END, splits)
+    if projects is not None:
+        lines = lines.join(known.select("path"), "path", "left_semi")
+    return known.join(rendered(known, lines, rollout_line), "path").select("path", "cwd", "text")

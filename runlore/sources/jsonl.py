@@ -6,18 +6,17 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from runlore.functions import variants as V
-from runlore.functions.text import ANY_LINE_END, lines_of
 
 
 @F.pandas_udf(StringType())
 def repaired(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON that a Python reader accepts and Spark's parser does not (repeated keys, NaN, infinities), written anew; null
-    for lines that are torn for both."""
+    for lines that are torn for both, and for null."""
 
     def fix(line: str | None) -> str | None:
         if line is None:
@@ -29,28 +28,21 @@ def repaired(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
             return None
 
     for s in lines:
-        yield s.map(fix)
-
-
-def read_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False) -> DataFrame:
-    """path, line_no (from 0), line: every line of every file, blank ones included, so that numbers are the file's own.
-    A file is one row until it is split, so its lines need no shuffle to be in order."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(lines_of(F.col("value"), ends)).alias("line_no", "line"))
+        yield s.map(fix) if s.notna().any() else s
 
 
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
     """lines with v, the line as VARIANT; null for blank and torn lines, which torn tells apart. Lines that only Python's
-    reader accepts go through a small helper; all others stay in the JVM."""
+    reader accepts go through a small helper, for which all others are null; the source is read and parsed once."""
     spark = lines.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col(line)
     blank = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == ""
-    first = lines.withColumn("v", F.try_parse_json(text)).withColumn("torn", F.col("v").isNull() & ~blank)
-    sound, doubtful = first.where("not torn"), first.where("torn")
-    mended = doubtful.withColumn("v", F.try_parse_json(repaired(text))).withColumn("torn", F.col("v").isNull())
-    return sound.unionByName(mended)
+    first = lines.withColumn("v", F.try_parse_json(text))
+    # Only tokens that Spark's parser knows not can mend a line; a torn one without them stays torn.
+    doubtful = F.col("v").isNull() & ~blank & text.rlike("NaN|Infinity")
+    mended = F.try_parse_json(repaired.asNondeterministic()(F.when(doubtful, text)))
+    return first.withColumn("v", F.coalesce("v", mended)).withColumn("torn", F.col("v").isNull() & ~blank)
 
 
 def objects(rows: DataFrame, v: str = "v") -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlore.functions import variants as V
-from runlore.sources.jsonl import parsed, read_lines
+from runlore.sources.jsonl import parsed
+from runlore.sources.numbered import read_lines
 
 EMPTY = "{}"
 
@@ -40,13 +41,13 @@ def step_key(step: Column) -> Column:
     return F.coalesce(F.when(step.rlike("^-?[0-9]{1,18}$"), step.cast("bigint")), F.lit(1 << 30))
 
 
-def read_traces(spark: SparkSession, paths: str | list[str], run_id: str | None = None, on_torn: str = "fail") -> DataFrame:
+def read_traces(spark: SparkSession, paths: str | list[str], run_id: str | None = None, on_torn: str = "fail", splits: bool | None = None) -> DataFrame:
     """The events of trace files. A torn line is an error, or is left out with on_torn='skip'; odd shapes are neither.
 
     Empty files give no rows. run_id: only that run's events. A null text or blank line gives no row; extra keys of an
-    event are ignored.
+    event are ignored. splits: as for read_lines; large files are read by many tasks.
     """
-    rows = parsed(read_lines(spark, paths))
+    rows = parsed(read_lines(spark, paths, splits=splits))
     if on_torn == "fail":
         said = F.concat(F.lit("torn JSON in "), F.col("path"), F.lit(" line "), F.col("line_no").cast("string"))
         rows = rows.where(F.when(F.col("torn"), F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
