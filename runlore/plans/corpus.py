@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,10 +161,26 @@ def memory_draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 up AS (SELECT id, source, parent AS ancestor FROM q WHERE parent IS NOT NULL UNION SELECT u.id, u.source, q.parent FROM up u JOIN q ON q.id = u.ancestor AND q.source = u.source WHERE q.parent IS NOT NULL)
 SELECT source, count(*) AS n FROM (SELECT source, ancestor AS a, id AS b FROM up UNION SELECT x.source, x.id, y.id FROM q x JOIN q y ON x.source = y.source AND x.parent = y.parent AND x.id < y.id) GROUP BY source""")
 def dependent_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.dependent_counts(_nested(spark, sf_dir), ["source"])
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, id, parent: documents as transcripts that descend from earlier ones."""
     i = F.col("doc_id")
     parent = F.when((i >= 20) & (i % 3 > 0), i - 20 * (1 + i % 2))
-    rows = table(spark, sf_dir, "documents").select("source", i.alias("id"), F.when(parent >= 0, parent).alias("parent"))
-    return lineage.dependent_pairs(rows, ["source"], 1 << 12).groupBy("source").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select("source", i.alias("id"), F.when(parent >= 0, parent).alias("parent"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT doc_id, source, CASE WHEN doc_id >= 20 AND doc_id % 3 > 0 THEN doc_id - 20 * (1 + doc_id % 2) END AS parent FROM documents), q AS (SELECT doc_id AS id, source, CASE WHEN parent >= 0 THEN parent END AS parent FROM p),
+up AS (SELECT id, source, parent AS ancestor FROM q WHERE parent IS NOT NULL UNION SELECT u.id, u.source, q.parent FROM up u JOIN q ON q.id = u.ancestor AND q.source = u.source WHERE q.parent IS NOT NULL),
+r AS (SELECT id AS a, source, unnest([id - 20, id - 40, id - 80, id + 20, id]) AS b FROM q)
+SELECT r.source, r.a, r.b, NOT (r.a = r.b OR EXISTS (SELECT 1 FROM up u WHERE u.source = r.source AND u.id = r.a AND u.ancestor = r.b) OR EXISTS (SELECT 1 FROM up u WHERE u.source = r.source AND u.id = r.b AND u.ancestor = r.a)
+  OR EXISTS (SELECT 1 FROM q x JOIN q y ON x.source = y.source AND x.parent = y.parent WHERE x.source = r.source AND x.id = r.a AND y.id = r.b)) AS independent FROM r""")
+def independent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every transcript whether it is independent of some near it."""
+    rows = _nested(spark, sf_dir)
+    near = F.explode(F.array(*(F.col("id") + d for d in (-20, -40, -80, 20, 0))))
+    return lineage.independence(rows.select("source", F.col("id").alias("a"), near.alias("b")), rows, ["source"])
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,22 +200,49 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT epoch_us(date_trunc('hour', ts)) / 1000000 AS hour, CASE event_type WHEN 'click' THEN 'main_step' WHEN 'error' THEN 'sub_call' WHEN 'signup' THEN 'run_start' ELSE 'tool_call' END AS type, count(*) AS n FROM events GROUP BY ALL""")
 def hourly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = feeds.drained(feeds.hourly_activity(_stream(spark, sf_dir)), f"hourly_{uuid.uuid4().hex}", "complete")
+    out = feeds.upserted(feeds.hourly_activity(_stream(spark, sf_dir)), "hourly", ["hour", "type"])
     return out.select((F.unix_micros("hour") / 1000000).alias("hour"), "type", "n")
 
 
 @query(TRACE_SQL + """SELECT run_id, count(*) FILTER (type = 'main_step') AS steps, count(*) FILTER (tool = 'draft_skill_file') AS draft_skill_file_calls, count(*) FILTER (tool IN ('draft_memory_file', 'draft_skill_file') AND cause <> 'ok') AS draft_not_ok, count(*) FILTER (type = 'sub_call') AS sub_calls, CASE WHEN count(ts) >= 2 THEN round(max(ts) - min(ts), 3) END AS elapsed_s FROM ev GROUP BY run_id""")
 def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = feeds.drained(feeds.live_metrics(_stream(spark, sf_dir)), f"metrics_{uuid.uuid4().hex}", "complete")
-    return out.select("run_id", "steps", "draft_skill_file_calls", "draft_not_ok", "sub_calls", "elapsed_s")
+    parts = feeds.upserted(feeds.live_metrics(_stream(spark, sf_dir)), "metrics", ["run_id", "part"])
+    return feeds.merged_metrics(parts).select("run_id", "steps", "draft_skill_file_calls", "draft_not_ok", "sub_calls", "elapsed_s")
 
 
 @query("""SELECT 'u' || user_id AS run_id, event_id::VARCHAR AS step_id, CASE event_type WHEN 'click' THEN 'distill.plan.step' WHEN 'error' THEN 'distill.sub_lm.call' WHEN 'signup' THEN 'distill.run.created' WHEN 'view' THEN 'distill.evidence.read' ELSE 'distill.draft.created' END AS event FROM events""")
 def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.drained(feeds.live_feed(_stream(spark, sf_dir).withColumn("step_key", F.lit(0))), f"feed_{uuid.uuid4().hex}").drop("data")
+    return feeds.drained(feeds.live_feed(_stream(spark, sf_dir).withColumn("step_key", F.lit(0))), "feed").drop("data")
 
 
 @query("""SELECT run_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT run_id, s, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY ts) AS s FROM (SELECT 'u' || user_id AS run_id, ts, (lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR)::INT AS brk FROM events)) GROUP BY ALL) GROUP BY run_id""")
 def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = feeds.drained(feeds.run_sessions(_stream(spark, sf_dir), "6 hours"), f"sessions_{uuid.uuid4().hex}", "complete")
+    out = feeds.merged_lifecycle(feeds.upserted(feeds.run_lifecycle(_stream(spark, sf_dir), "6 hours"), "sessions", ["run_id", "started"]))
     return out.groupBy("run_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+
+
+@query("""WITH brk AS (
+  SELECT 'u' || user_id AS run_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR)::INT AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), placed AS (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM brk), stretch AS (
+  SELECT run_id, s, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS events FROM placed GROUP BY ALL
+), mark AS (
+  -- a watermark is in whole milliseconds
+  SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 AS mark FROM events)
+SELECT run_id, started_us, ended_us, events, CASE WHEN ended_us + 6 * 3600000000 <= mark THEN 'closed' ELSE 'open' END AS state, CASE WHEN ended_us + 6 * 3600000000 <= mark THEN 'distill.run.completed' END AS event, CASE WHEN ended_us + 6 * 3600000000 <= mark THEN '{}' END AS data FROM stretch, mark""")
+def run_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each run; those that fell silent carry the event that would be missing."""
+    out = feeds.upserted(feeds.run_lifecycle(_stream(spark, sf_dir), "6 hours", "1 hour"), "lifecycles", ["run_id", "started"])
+    out = feeds.merged_lifecycle(out)
+    return out.select("run_id", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "events", "state", "event", "data")
+
+
+@query("""WITH turn AS (SELECT 'u' || user_id AS run_id, epoch_us(ts) * 1000 + event_id % 1000 AS step, json_extract_string(props, '$.k')::BIGINT % 5 AS reasoning FROM events WHERE event_type = 'click'),
+seen AS (SELECT *, lag(reasoning) OVER w AS before, row_number() OVER w AS n FROM turn WINDOW w AS (PARTITION BY run_id ORDER BY step))
+SELECT run_id, step, 'r' || reasoning AS reasoning FROM seen WHERE n = 1 OR before <> reasoning""")
+def live_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of turns without those that say what the turn before said."""
+    turns = _stream(spark, sf_dir).where("type = 'main_step'")
+    step = F.unix_micros("event_time") * 1000 + F.col("step_id").cast("long") % 1000
+    said = F.concat(F.lit("r"), (F.try_variant_get("payload", "$.turn", "long") % 5).cast("string"))
+    out = feeds.drained(feeds.without_repeats(turns.select("run_id", step.alias("step_key"), said.alias("reasoning"), "event_time")), "turns")
+    return out.select("run_id", F.col("step_key").alias("step"), "reasoning")
