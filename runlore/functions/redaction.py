@@ -13,7 +13,7 @@ from operator import or_
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The built-in rules, in order: label and pattern. Fixed values.
@@ -171,3 +171,57 @@ def matches(text: Column, regexes: dict[str, str], label: Column) -> Column:
         return pd.Series([None if name not in patterns or t is None else patterns[name].search(t) is not None for t, name in zip(texts, labels, strict=True)], dtype=object)
 
     return run(text, label)
+
+
+def alive(samples: DataFrame, vendor: list, covers: DataFrame, operator: list = ()) -> DataFrame:
+    """samples (rule_id, sample and any other columns) with whether each rule still does its work: matches (its pattern is
+    found in its sample), secret_gone (what it would replace is not in the redacted sample), shown (labels in that, in
+    order, as an array), own (its own label is one of them), covered_by (the rule that took the sample in its place, null
+    if none that may) and alive (it matches, the secret is gone, and its own or a rule that may cover it is shown).
+
+    covers (rule_id, covered_by): rules that may take another's sample; a rule covered by a covered one is covered too. A
+    sample that does not open its rule's keyword gate is read behind the gate's first keyword. Unknown rules match
+    nothing; a null sample matches nothing.
+    """
+    rules = {r.label: r for r in vendor}
+
+    @F.pandas_udf("struct<matches:boolean,text:string,secret:string>")
+    def tried(rule: pd.Series, sample: pd.Series) -> pd.DataFrame:
+        out = []
+        for label, text in zip(rule, sample, strict=True):
+            r = rules.get(label)
+            m = re.compile(r.regex).search(text) if r is not None and isinstance(text, str) else None
+            if m is None:
+                out.append((False, text, None))
+                continue
+            part = m.group(r.group) if r.group is not None else None
+            closed = r.keywords and not any(k in text.lower() for k in r.keywords)
+            out.append((True, f"{r.keywords[0]} {text}" if closed else text, part or m.group(0)))
+        return pd.DataFrame(out, columns=["matches", "text", "secret"])
+
+    rows = samples.select(F.struct(*samples.columns).alias("row"), "rule_id", tried("rule_id", "sample").alias("t"))
+    rows = rows.withColumn("redacted", redact(F.col("t.text"), vendor, operator))
+    shown = F.coalesce(F.regexp_extract_all("redacted", F.lit(r"\[REDACTED:([^\]]+)\]"), 1), F.array().cast("array<string>"))
+    allowed = _closure(covers).groupBy("rule_id").agg(F.sort_array(F.collect_set("covered_by")).alias("allowed"))
+    rows = rows.withColumn("shown", shown).join(F.broadcast(allowed), "rule_id", "left")  # a row a rule
+    gone = F.coalesce(~F.col("redacted").contains(F.col("t.secret")), F.lit(False))
+    own = F.array_contains("shown", F.col("rule_id"))
+    may = F.filter("shown", lambda x: F.coalesce(F.array_contains("allowed", x), F.lit(False)))
+    covered = F.when(~own, F.get(may, F.lit(0)))
+    out = rows.select("row.*", F.col("t.matches").alias("matches"), gone.alias("secret_gone"), "shown", own.alias("own"), covered.alias("covered_by"))
+    return out.withColumn("alive", F.col("matches") & F.col("secret_gone") & (F.col("own") | F.col("covered_by").isNotNull()))
+
+
+def _closure(covers: DataFrame) -> DataFrame:
+    """rule_id, covered_by: also over covered rules. Rules are a small table that a person writes: its closure is found by
+    doubling, a join a round, until none is new."""
+    out = covers.select("rule_id", "covered_by").where("rule_id <> covered_by").distinct()
+    size = out.count()
+    while size:
+        step = out.alias("a").join(out.alias("b"), F.col("a.covered_by") == F.col("b.rule_id")).select("a.rule_id", "b.covered_by")
+        out = out.unionByName(step).where("rule_id <> covered_by").distinct()
+        now = out.count()
+        if now == size:
+            break
+        size = now
+    return out

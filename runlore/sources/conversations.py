@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from runlore.sources.numbered import read_lines
 
 #: Lines of a rollout in which its session_meta is looked for.
 META_LINES = 50
+ROLLOUTS = "rollout-*.jsonl"
 
 
 def _files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
@@ -94,17 +98,45 @@ def first_cwds(lines: DataFrame) -> DataFrame:
     return meta.groupBy("path").agg(F.min_by(F.when(cwd != "", cwd), "line_no").alias("cwd"))
 
 
-def rollouts(spark: SparkSession, storage: str, projects: DataFrame | None = None, index: DataFrame | None = None, splits: bool | None = None) -> DataFrame:
-    """path, cwd, text of every rollout-*.jsonl; cwd as first_cwds, or from an index (rollout_index). projects (cwd): only
-    rollouts recorded in one of them; the others' lines are read but not rendered, and with an index not even read."""
-    files = _listed(spark, storage, "rollout-*.jsonl").select("path")
-    if index is not None:
-        known = files.join(index.select("path", "cwd"), "path", "left")
-    else:
-        known = files.join(first_cwds(_lines(spark, storage, "rollout-*.jsonl", PLAIN_LINE_END, splits)), "path", "left")
+def rollout_index(spark: SparkSession, storage: str, index_dir: str, glob: str = ROLLOUTS, splits: bool | None = None) -> DataFrame:
+    """path, cwd, modified of every rollout, from a table in index_dir that is made longer: only files that were modified
+    since the last time are opened, and what they say is appended as one more part of the table.
+
+    A part is numbered and replaces itself where it is written again after a failure. A file that changed has a row in
+    several parts, of which its latest counts; one that is gone has no row. Two writers at once are not for one table.
+    """
+    listed = _listed(spark, storage, glob)
+    known = _indexed(spark, index_dir)
+    number, last = known.agg(F.coalesce(F.max("part"), F.lit(-1)) + 1, F.max("modified").cast("string")).first()
+    new = listed.join(known.select("path", "modified"), ["path", "modified"], "left_anti")
+    # The reader leaves out, by the listing alone, what is not newer than a moment before the newest file that is known.
+    since = {} if last is None else {"modifiedAfter": (datetime.fromisoformat(last) - timedelta(seconds=1)).isoformat()}
+    lines = parsed(read_lines(spark, storage, PLAIN_LINE_END, recursive=True, glob=glob, splits=splits, options=since))
+    found = new.join(first_cwds(lines), "path", "left").select("path", "cwd", "modified")
+    found.write.mode("overwrite").parquet(f"{index_dir}/part={number}")
+    latest = _indexed(spark, index_dir).groupBy("path").agg(F.max_by(F.struct("cwd", "modified"), F.struct("modified", "part")).alias("r"))
+    return latest.select("path", "r.*").join(listed.select("path"), "path", "left_semi")
+
+
+def _indexed(spark: SparkSession, index_dir: str) -> DataFrame:
+    schema = "path string, cwd string, modified timestamp, part int"
+    try:
+        return spark.read.schema(schema).parquet(index_dir)
+    except AnalysisException as e:  # no index yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def rollouts(spark: SparkSession, storage: str, projects: DataFrame | None = None, index: DataFrame | None = None, splits: bool | None = None, glob: str = ROLLOUTS) -> DataFrame:
+    """path, cwd, text of every rollout; cwd as first_cwds, or from an index (rollout_index), which spares reading all
+    files for it. projects (cwd): only rollouts recorded in one of them are rendered."""
+    files = _listed(spark, storage, glob).select("path")
+    found = index.select("path", "cwd") if index is not None else first_cwds(_lines(spark, storage, glob, PLAIN_LINE_END, splits))
+    known = files.join(found, "path", "left")
     if projects is not None:
         known = known.join(projects.select("cwd").distinct(), "cwd", "left_semi")
-    lines = _lines(spark, storage, "rollout-*.jsonl", PLAIN_LINE_END, splits)
+    lines = _lines(spark, storage, glob, PLAIN_LINE_END, splits)
     if projects is not None:
         lines = lines.join(known.select("path"), "path", "left_semi")
     return known.join(rendered(known, lines, rollout_line), "path").select("path", "cwd", "text")

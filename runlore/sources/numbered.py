@@ -7,7 +7,7 @@ lines are never shuffled: a second pass adds its split's first number to a line'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlore.folders import written
@@ -19,11 +19,14 @@ RARE_END = "[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 BROADCAST_SPLITS = 100_000
 
 
-def _placed(spark: SparkSession, paths: str | list[str], recursive: bool, glob: str | None) -> DataFrame:
+def _reader(spark: SparkSession, recursive: bool, glob: str | None, options: dict[str, str] | None = None) -> DataFrameReader:
+    more = {"pathGlobFilter": glob} if glob else {}
+    return spark.read.options(recursiveFileLookup=str(recursive).lower(), **more, **(options or {}))
+
+
+def _placed(spark: SparkSession, paths: str | list[str], recursive: bool, glob: str | None, options: dict[str, str] | None) -> DataFrame:
     """path, start (the split's first byte), place (order of lines in a split; it grows from line to line), line."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    reader = _reader(spark, recursive, glob, options)
     rows = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
     return rows.withColumn("place", F.monotonically_increasing_id())
 
@@ -37,15 +40,15 @@ def split_starts(lines: DataFrame, ends: str) -> DataFrame:
     return counts.withColumn("first_line", first).withColumn("rare", F.max("more").over(Window.partitionBy("path")) > 0).drop("more")
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False, glob: str | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False, glob: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """path, line_no (from 0), line: every line of every file, blank ones included, however large the files are.
 
     Both passes must see the same files: a line that the first pass did not count is an error, not a wrong number. In
     files with rarer line ends (of ANY_LINE_END) a line of the reader can be several; what these add to later numbers is a
     running sum over the file, for such files alone. Where a file ends in one of them and no line feed, one blank line is
-    given more. An empty file gives no line.
+    given more. An empty file gives no line. options: of the reader.
     """
-    lines = _placed(spark, paths, recursive, glob)
+    lines = _placed(spark, paths, recursive, glob, options)
     starts = written(split_starts(lines, ends), "splits")
     seen = starts.agg(F.count("*"), F.coalesce(F.bool_or("rare"), F.lit(False))).first()
     small = F.broadcast(starts) if seen[0] <= BROADCAST_SPLITS else starts
@@ -62,30 +65,24 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_
     return out.where("not rare").select("path", "line_no", "line").unionByName(odd.select("path", (F.col("line_no") + F.col("more")).alias("line_no"), "line"))
 
 
-def whole_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False, glob: str | None = None) -> DataFrame:
+def whole_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False, glob: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """The same for small files: a file is one row until it is cut, so one pass is enough."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = _reader(spark, recursive, glob, options).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.select("path", F.posexplode(lines_of(F.col("value"), ends)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def largest_file(spark: SparkSession, paths: str | list[str], recursive: bool = False, glob: str | None = None) -> int:
+def largest_file(spark: SparkSession, paths: str | list[str], recursive: bool = False, glob: str | None = None, options: dict[str, str] | None = None) -> int:
     """Bytes of the largest file, from the listing alone."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(paths).agg(F.max("length")).first()[0] or 0
+    return _reader(spark, recursive, glob, options).format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
 
 
 #: A file of more bytes is read in splits; below, it is one task's row for a moment.
 WHOLE_MOST = 32 << 20
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False, glob: str | None = None, splits: bool | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False, glob: str | None = None, splits: bool | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """path, line_no (from 0), line. splits: whether files are read in splits; by default where one has over WHOLE_MOST
     bytes. Both ways give the same rows."""
     if splits is None:
-        splits = largest_file(spark, paths, recursive, glob) > WHOLE_MOST
-    return (numbered_lines if splits else whole_lines)(spark, paths, ends, recursive, glob)
+        splits = largest_file(spark, paths, recursive, glob, options) > WHOLE_MOST
+    return (numbered_lines if splits else whole_lines)(spark, paths, ends, recursive, glob, options)
