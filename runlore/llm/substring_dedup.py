@@ -78,14 +78,14 @@ def selected_shingles(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def units_around(texts: DataFrame, min_words: int) -> DataFrame:
-    """d1, d2, doc_id, key, at: the units of each text (doc_id, key, text, shared: hashes of shingles) that hold one of its
-    shared shingles; at is the number of a unit's first word."""
+    """d1, d2, n, at: the units of each text (n, text, shared: hashes of shingles) that hold one of its shared shingles;
+    at is the number of a unit's first word."""
     size, width = _sizes(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            for doc_id, key, text, shared in zip(*(b.column(i) for i in range(4)), strict=True):
+            for n, text, shared in zip(*(b.column(i) for i in range(3)), strict=True):
                 words = folded(text.as_py())
                 grams = run_hashes(word_hashes(text.as_py()), size)
                 places = selected(grams, width)
@@ -101,10 +101,10 @@ def units_around(texts: DataFrame, min_words: int) -> DataFrame:
                     at = starts[i : i + (1 << 15)]
                     spans = zip(first[at].tolist(), (ends[at + min_words - 1] - 1).tolist(), strict=True)
                     both = np.frombuffer(b"".join([digest(joined[x:y]) for x, y in spans]), "<i8").reshape(-1, 2)
-                    ids = pa.repeat(doc_id, len(at)), pa.repeat(key, len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *ids, pa.array(at.astype(np.int32))], ["d1", "d2", "doc_id", "key", "at"])
+                    columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.repeat(n, len(at)), pa.array(at.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "n", "at"])
 
-    return texts.select("doc_id", "key", "text", "shared").mapInArrow(run, "d1 long, d2 long, doc_id long, key long, at int")
+    return texts.select("n", "text", "shared").mapInArrow(run, "d1 long, d2 long, n long, at int")
 
 
 def _rank(*more: str) -> Column:
@@ -126,19 +126,28 @@ def repeated_ranges(docs: DataFrame, min_words: int, within: bool) -> DataFrame:
     # Written, so that the join below has an exchange on either side and Spark can split a common shingle's partition.
     shared = written(shared, "shared")
     lists = found.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("shared"))
-    lists = written(ranks.join(lists, "key").select(F.col("first_id").alias("doc_id"), "key", "shared"), "lists")
-    own = docs.select(*_keyed(docs)).alias("t").join(lists.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.key") == F.col("l.key")))
-    units = written(units_around(own.select("t.doc_id", "t.key", "t.text", "l.shared"), min_words), "units")
-
-    place = _rank("at") if within else _rank()
+    # Texts are numbered in the order of their ranks, so that a unit's row names its text, and ranks it, in 8 bytes.
+    by_rank = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("key")]
+    lists = ranks.join(lists, "key").select(F.col("first_id").alias("doc_id"), "key", "shared").repartitionByRange(*by_rank).sortWithinPartitions(*by_rank)
+    lists = written(lists.withColumn("n", F.monotonically_increasing_id()), "lists")
+    same = F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.key") == F.col("l.key"))
+    # Merged at every size, so that a plan that holds for small lists is not another than that for large ones.
+    own = docs.select(*_keyed(docs)).alias("t").join(lists.hint("merge").alias("l"), same)
+    units = written(units_around(own.select("l.n", "t.text", "l.shared"), min_words), "units")
+
+    place = F.struct("n", "at") if within else F.col("n")
     first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("d1", "d2", "first")
     later = units.join(written(first, "firsts"), ["d1", "d2"]).withColumn("place", place).where("place <> first")
     # Units of one document that touch or overlap make a range; a document's units are no more than its words.
-    order = "partition by doc_id, key order by at"
-    later = later.selectExpr("doc_id", "key", "at", "first.doc_id as keeper", f"at > lag(at, 1, -1 - {min_words}) over ({order}) + {min_words} as new").distinct()
-    later = later.selectExpr("doc_id", "key", "at", "keeper", f"sum(int(new)) over ({order}) as range")
-    ranges = later.groupBy("doc_id", "key", "range").agg(F.min("at").alias("start"), (F.max("at") + min_words).alias("stop"), F.min(F.struct("at", "keeper"))["keeper"].alias("keeper"))
-    ranges = written(ranges.drop("range"), "ranges")
+    keeper = "first.n" if within else "first"
+    order = "partition by n order by at"
+    later = later.selectExpr("n", "at", f"{keeper} as keeper", f"at > lag(at, 1, -1 - {min_words}) over ({order}) + {min_words} as new").distinct()
+    later = later.selectExpr("n", "at", "keeper", f"sum(int(new)) over ({order}) as range")
+    ranges = later.groupBy("n", "range").agg(F.min("at").alias("start"), (F.max("at") + min_words).alias("stop"), F.min(F.struct("at", "keeper"))["keeper"].alias("keeper"))
+    ranges = written(ranges.drop("range"), "numbered")
+    names = lists.select("n", "doc_id", "key")
+    ranges = ranges.join(names.select(F.col("n").alias("keeper"), F.col("doc_id").alias("kept_by")), "keeper").join(names, "n")
+    ranges = written(ranges.select("doc_id", "key", "start", "stop", F.col("kept_by").alias("keeper")), "ranges")
     each = ranges.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "keeper"))).alias("ranges"))
 
     # A copy's first words may have come from elsewhere already.
@@ -184,7 +193,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, within: bool = False) -
     kept = [c for c in docs.columns if c not in ("removed_spans", "removed_words")]
     # The row travels in a struct, so that no column of its own can clash with those of the join.
     left = docs.select(F.struct(*kept).alias("row"), *_keyed(docs)[:2])
-    joined = left.join(found, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left").select("row", "whole", "ranges")
+    joined = left.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left").select("row", "whole", "ranges")
 
     @F.pandas_udf(f"text string, spans {SPANS}")
     def cut(text: pd.Series, whole: pd.Series, ranges: pd.Series) -> pd.DataFrame:
