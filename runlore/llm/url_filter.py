@@ -16,8 +16,11 @@ from runlore.llm.components import connected_components
 
 #: A list of rules up to this many rows is broadcast (some MB); a longer one is joined by shuffle.
 BROADCAST_RULES = 20_000
-#: A name and its value; read one after another, so that what stands in a quoted value is no name.
-ATTRIBUTE = "(?s)([^\\s\"'<>/=]+)\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
+#: A name and its value; read one after another, so that what stands in a quoted value is no name. A name begins where no
+#: letter of a name stands before it, and nothing is given back, so a tag is read once however long its names are.
+ATTRIBUTE = "(?s)(?<![^\\s\"'<>/=])([^\\s\"'<>/=]++)\\s*+=\\s*+(\"[^\"]*+\"|'[^']*+'|[^\\s\"'>]++)"
+#: A tag that can hold a link; a > or < in a quoted value does not end it.
+LINK_TAG = "(?is)<(?:link|meta)[\\s/](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>"
 #: What holds no tags; without its end it reaches to the end of the page.
 HIDDEN = "(?is)<!--.*?(?:-->|\\z)|<(script|style)\\b.*?(?:</\\1\\s*>|\\z)"
 
@@ -33,11 +36,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def attribute(tag: Column, name: str) -> Column:
+def attribute(names: Column, values: Column, name: str) -> Column:
     """The value of a tag's first attribute of that name; empty where it has none."""
-    names = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1))
-    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2))
-    at = F.array_position(F.transform(names, F.lower), name)
+    at = F.array_position(names, name)
     return F.when(at > 0, F.regexp_replace(F.get(values, at.cast("int") - 1), "(?s)^([\"'])(.*)\\1$", "$2")).otherwise(F.lit(""))
 
 
@@ -61,11 +62,13 @@ def resolved(link: Column, base: Column) -> Column:
 def alias_links(pages: DataFrame) -> DataFrame:
     """src, dst: the links of pages (url, html) to the urls that their canonical links and refresh redirects name."""
     shown = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), HIDDEN, " ")
-    tags = F.regexp_extract_all(shown, F.lit("(?is)<(?:link|meta)[\\s/][^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(shown, F.lit(LINK_TAG), F.lit(0))
     rows = pages.select(F.col("url").cast("string").alias("url"), F.explode(tags).alias("tag"))
     # Step by step, so that no expression holds another one many times over.
     named = {"rel": "rel", "to": "href", "kind": "http-equiv", "content": "content"}
-    rows = rows.select("url", *(attribute(F.col("tag"), x).alias(c) for c, x in named.items()))
+    found = [F.regexp_extract_all("tag", F.lit(ATTRIBUTE), F.lit(i)) for i in (1, 2)]
+    rows = rows.select("url", F.transform(found[0], F.lower).alias("names"), found[1].alias("values"))
+    rows = rows.select("url", *(attribute(F.col("names"), F.col("values"), x).alias(c) for c, x in named.items()))
     canonical = F.when(F.array_contains(F.split(F.lower("rel"), "\\s+"), "canonical"), F.col("to"))
     moved = F.when(F.lower("kind") == "refresh", F.regexp_extract("content", "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
     rows = rows.select("url", F.coalesce(canonical, moved, F.lit("")).alias("link")).where("link <> '' and url is not null")
