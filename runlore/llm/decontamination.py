@@ -6,20 +6,22 @@ item with the document, which is verified word for word: some window, in which a
 have enough equal words. The masks miss no such window, wherever its words were replaced.
 
 The benchmark comes through the driver in blocks of a fixed number of words, each a broadcast of bounded size, and every
-document meets every block where it is read: no text is shuffled, whatever the benchmark's size. After every CHAINED
-blocks the hits so far are written, so that a task never holds more than so many of them.
+document meets every block where it is read. Up to CHAINED blocks are met in one pass, so that a task never holds more; of
+a larger benchmark each pass writes its hits alone, by a hash of the text, and documents are joined with them at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import session_setup, written
+from runlore.llm.common import scratch, session_setup, written
 
 #: Fixed masks over a window of words, by the equal words that count (more than 13 as 13); 0 ignores the word. Every window
 #: with so many, and four in five equal, is hit. For 13, a window without five equal words in a row and with seven or more
@@ -233,21 +235,54 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, min_i
     session_setup(docs.sparkSession)
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "overlaps"]
-    out = docs.select(*names).withColumn("overlaps", F.array().cast(HITS))
-    at = names.index("text")
-    schema = out.schema
-    for i, block in enumerate(blocks(benchmark, min_overlap, min_item)):
-        if i and i % CHAINED == 0:
-            out = written(out, "overlaps")
-        shared = spark.sparkContext.broadcast(block)
+    groups = grouped(blocks(benchmark, min_overlap, min_item), CHAINED)
+    group = next(groups, [])
+    more = next(groups, None)
+    if more is None:  # a benchmark of a few blocks: hits are added where texts are read
+        return searched(docs.select(*names), group, min_overlap)
+    # Hits depend on the text alone: of each group of blocks only they are written, by a 128-bit hash of the text.
+    texts = docs.select(*_text_name(), F.col("text").cast("string").alias("text")).where("text is not null")
+    with scratch(spark):
+        found = []
+        while group is not None:
+            hits = searched(texts, group, min_overlap).where(F.size("overlaps") > 0)
+            hits = hits.groupBy("k1", "k2").agg(F.any_value("overlaps").alias("overlaps")).withColumn("part", F.lit(len(found)))
+            found.append(written(hits, "hits"))
+            group, more = more, next(groups, None)
+        both = reduce(DataFrame.unionByName, found)
+        ordered = F.sort_array(F.collect_list(F.struct("part", "overlaps")))
+        both = both.groupBy("k1", "k2").agg(F.flatten(F.transform(ordered, lambda x: x["overlaps"])).alias("overlaps"))
+        both = written(both, "overlaps", keep=True)
+    # The row travels in a struct, so that no column of its own can clash.
+    rows = docs.select(F.struct(*names).alias("row"), *_text_name()).join(both, ["k1", "k2"], "left")
+    return rows.select("row.*", F.coalesce("overlaps", F.array().cast(HITS)).alias("overlaps"))
+
+
+def _text_name() -> list[Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
+def grouped(items: Iterator, size: int) -> Iterator[list]:
+    while part := list(islice(items, size)):
+        yield part
+
+
+def searched(rows: DataFrame, group: list[Block], min_overlap: int) -> DataFrame:
+    """rows (text and other columns) with overlaps, the hits of a few blocks, each a broadcast of bounded size."""
+    out = rows.withColumn("overlaps", F.array().cast(HITS))
+    at, schema = rows.columns.index("text"), out.schema
+    for block in group:
+        shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own: Block = shared.value
             for b in batches:
                 texts = [(t.as_py() or "").encode() for t in b.column(at)]
                 found = [x for part in portions(texts) for x in own.overlaps(*words_of(part), min_overlap)]
-                rows = [[*before, *({"item_id": i, "start": s, "end": e, "matched": m} for i, s, e, m in more)] for before, more in zip(b.column(b.num_columns - 1).to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, _HITS)], [f.name for f in b.schema])
+                before = b.column(b.num_columns - 1).to_pylist()
+                hits = [[*old, *({"item_id": i, "start": s, "end": e, "matched": m} for i, s, e, m in new)] for old, new in zip(before, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, _HITS)], [f.name for f in b.schema])
 
         out = out.mapInArrow(run, schema)
     return out
