@@ -109,7 +109,8 @@ def _columns(b: pa.RecordBatch) -> np.ndarray:
 
 
 def fit(train: DataFrame, calibrate: DataFrame, waves: int = 256, width: float = 4.0, seed: int = 7) -> KernelScore:
-    """train, calibrate: the statistics and label (0 or 1). All rows count. No rows with labels: every score is 0.5.
+    """train, calibrate: the statistics and label (0 or 1). All rows count. No rows to train on: every score is 0.5; none
+    to calibrate on: the ridge's own score, cut to 0 and 1.
 
     waves: random features; width: of the Gaussian kernel, in standard deviations.
     """
@@ -142,7 +143,9 @@ def fit(train: DataFrame, calibrate: DataFrame, waves: int = 256, width: float =
 
     bins = calibrate.select(*STATISTICS, "label").mapInArrow(scored, "raw double, label double").groupBy(F.floor(F.greatest(F.lit(-0.5), F.least(F.lit(1.5), "raw")) * (BINS // 2)).alias("bin"))
     found = bins.agg(F.avg("raw").alias("at"), F.avg("label").alias("mean"), F.count("*").alias("n")).orderBy("bin").collect()  # at most BINS + 1 rows
-    if found:
+    if not found:  # nothing to calibrate on: the ridge's own score, cut to 0 and 1
+        model.knots, model.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    else:
         model.knots, model.levels = isotonic(*(np.array([r[c] for r in found], float) for c in ("at", "mean", "n")))
     return model
 
@@ -153,7 +156,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     labels: doc_id and a column `label` of 0 and 1; only rows outside fold 0 are learned from: folds 1 to 3 fit the
     ridge, fold 4 calibrates. Rows with null ids or labels teach nothing; several labels of one id count as their mean,
     rounded half up. Null and empty texts are scored as texts without words. Repeated rows and ties get equal scores; an
-    empty table gives an empty one; no labels: every score is 0.5. Other columns are ignored.
+    empty table gives an empty one; no labels in folds 1 to 3: every score is 0.5; none in fold 4: the ridge's own score,
+    cut to 0 and 1. Other columns are ignored.
     """
     stats = written(document_statistics(docs).withColumn("fold", fold(F.col("doc_id"))), "statistics")
     taught = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
