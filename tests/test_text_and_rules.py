@@ -180,7 +180,7 @@ def test_outcomes(spark):
     roots = spark.createDataFrame([("r", "/m", "/g", "/p")], "run_id string, memory_dir string, global_skills_dir string, project_skills_dir string")
     out = by(outcomes.apply_outcomes(c, approvals, index, roots, "T"), "index")
     assert [out[i]["status"] for i in range(13)] == ["noop", "applied", "refused", "applied", "refused", "applied", "refused", "refused", "refused", "refused", "refused", "skipped", "applied"]
-    assert out[1]["path"] == "/g/helper/SKILL.md" and "GLOBAL" in out[2]["reason"] and out[5]["path"] == "/m/my-note.md" and "conflict" in out[7]["reason"] and "over the 120 limit" in out[9]["reason"]
+    assert out[1]["path"] == "/g/helper/SKILL.md" and "a global skill" in out[2]["reason"] and out[5]["path"] == "/m/my-note.md" and "conflict" in out[7]["reason"] and "over 120" in out[9]["reason"]
     assert {out[3]["path"], out[12]["path"]} == {"/_archive/T-a.md", "/_archive/T-2-a.md"}
     with pytest.raises(ValueError):
         outcomes.apply_outcomes(c, spark.createDataFrame([("r", 77, False)], "run_id string, index int, overwrite boolean"), index, roots, "T")
