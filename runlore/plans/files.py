@@ -12,7 +12,7 @@ from runlore.folders import new_dir, written
 from runlore.operators import export
 from runlore.plans.derived import table, trace_events
 from runlore.plans.registry import from_trace, query
-from runlore.sources.conversations import rollout_index, rollouts
+from runlore.sources.conversations import rollout_index, rollouts, session_transcripts, subagent_transcripts
 from runlore.sources.traces import read_traces
 
 
@@ -88,3 +88,32 @@ def bundle_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for x in counts[1:]:
         all_ = all_.unionByName(x)
     return all_
+
+
+_SESSIONS_SQL = """WITH line AS (SELECT conv_id, turn, role || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, ''), E' \\n\\t\\r') <> ''),
+whole AS (SELECT conv_id, coalesce(string_agg(line, chr(10) ORDER BY turn) FILTER (turn % 3 < 2), '') AS own, coalesce(string_agg(line, chr(10) ORDER BY turn), '') AS every FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN line USING (conv_id) GROUP BY conv_id)
+SELECT 'session' AS kind, 'p' || (conv_id % 9) AS project, 's' || conv_id AS session, '' AS id, own AS text FROM whole WHERE conv_id % 4 > 0 UNION ALL SELECT 'agent', 'p' || (conv_id % 9), 's' || conv_id, 'a' || (conv_id % 2), every FROM whole WHERE conv_id % 4 IN (1, 2)"""
+
+
+@query(_SESSIONS_SQL)
+def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of sessions and sub-agents, with torn, blank and other lines, read back and rendered. Turns of
+    a side chain show in sub-agents alone; sub-agents of sessions that are gone are left out."""
+    rows = table(spark, sf_dir, "conversations")
+    place = rows.select("*", F.concat(F.lit("p"), (F.col("conv_id") % 9).cast("string")).alias("project"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session"))
+    message = F.struct("role", F.coalesce("text", F.lit("")).alias("content")).alias("message")
+    line = F.to_json(F.struct(F.col("role").alias("type"), (F.col("turn") % 3 == 2).alias("isSidechain"), message))
+    noise = F.array(line, F.lit(""), F.lit('{"type": "user", "mess'), F.lit('{"type": "summary", "summary": "x"}'), F.lit("[1]"))
+    lines = place.select("project", "session", "conv_id", "turn", F.posexplode(noise).alias("at", "value"))
+    storage = new_dir(spark, "projects")
+
+    def write(some: DataFrame, keys: list[str]) -> None:
+        some = some.repartition(8, *keys).sortWithinPartitions(*keys, "turn", "at")
+        some.select(*keys, "value").write.mode("append").partitionBy(*keys).text(storage)
+
+    write(lines.where("conv_id % 4 > 0"), ["project", "session"])
+    write(lines.where("conv_id % 4 < 3").withColumn("agent", F.concat(F.lit("a"), (F.col("conv_id") % 2).cast("string"))), ["project", "session", "agent"])
+    sessions = session_transcripts(spark, storage, place="project=([^/]+)/session=([^/]+)/part-[^/]*$", glob="part-*")
+    agents = subagent_transcripts(spark, storage, sessions, place="project=([^/]+)/session=([^/]+)/(agent=([^/]+)/part-[^/]*)$", glob="part-*")
+    own = sessions.select(F.lit("session").alias("kind"), "project", "session", F.lit("").alias("id"), "text")
+    return own.unionByName(agents.select(F.lit("agent").alias("kind"), "project", "session", "id", "text"))

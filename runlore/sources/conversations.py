@@ -17,6 +17,9 @@ from runlore.sources.numbered import read_lines
 #: Lines of a rollout in which its session_meta is looked for.
 META_LINES = 50
 ROLLOUTS = "rollout-*.jsonl"
+#: Where files of sessions and sub-agents are, and their parts: project, session; and of the latter subpath and id.
+SESSION_PLACE = "projects/([^/]+)/([^/]+)\\.jsonl$"
+AGENT_PLACE = "projects/([^/]+)/([^/]+)/(subagents/(?:.*/)?agent-([^/]*))\\.jsonl$"
 
 
 def _files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
@@ -42,12 +45,12 @@ def rendered(files: DataFrame, lines: DataFrame, line) -> DataFrame:
     return files.select("path").join(text, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def session_transcripts(spark: SparkSession, storage: str, splits: bool | None = None) -> DataFrame:
+def session_transcripts(spark: SparkSession, storage: str, splits: bool | None = None, place: str = SESSION_PLACE, glob: str = "*.jsonl") -> DataFrame:
     """path, project, session, text of every <storage>/<project>/<session>.jsonl; deeper files are not sessions. splits:
-    as for read_lines."""
-    part = lambda i: F.regexp_extract("path", "projects/([^/]+)/([^/]+)\\.jsonl$", i)
-    files = _listed(spark, storage, "*.jsonl").select("path", part(1).alias("project"), part(2).alias("session")).where("session <> ''")
-    lines = _lines(spark, storage, "*.jsonl", ANY_LINE_END, splits).where(part(2) != "")
+    as for read_lines. place, glob: where files are, if not there."""
+    part = lambda i: F.regexp_extract("path", place, i)
+    files = _listed(spark, storage, glob).select("path", part(1).alias("project"), part(2).alias("session")).where("session <> ''")
+    lines = _lines(spark, storage, glob, ANY_LINE_END, splits).where(part(2) != "")
     return files.join(rendered(files, lines, event_line), "path")
 
 
@@ -60,15 +63,14 @@ def sidecars(spark: SparkSession, storage: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "\\.meta\\.json$", "").alias("stem"), text("$.agentType").alias("agent_type"), V.as_int(V.get(v, "$.spawnDepth")).alias("depth"), text("$.description").alias("description"), text("$.parentAgentId").alias("parent_agent"))
 
 
-def subagent_transcripts(spark: SparkSession, storage: str, sessions: DataFrame, splits: bool | None = None) -> DataFrame:
+def subagent_transcripts(spark: SparkSession, storage: str, sessions: DataFrame, splits: bool | None = None, place: str = AGENT_PLACE, glob: str = "agent-*.jsonl") -> DataFrame:
     """path, project, session, id, subpath, workflow, agent_type, depth, description, parent_agent, text of every
     agent-*.jsonl below a session that is present."""
-    place = "projects/([^/]+)/([^/]+)/(subagents/(?:.*/)?agent-([^/]*))\\.jsonl$"
     part = lambda i: F.regexp_extract("path", place, i)
-    files = _listed(spark, storage, "agent-*.jsonl").select("path", part(1).alias("project"), part(2).alias("session"), part(3).alias("subpath"), part(4).alias("id")).where("session <> ''")
+    files = _listed(spark, storage, glob).select("path", part(1).alias("project"), part(2).alias("session"), part(3).alias("subpath"), part(4).alias("id")).where("session <> ''")
     files = files.join(sessions.select("project", "session").distinct(), ["project", "session"], "left_semi")
     workflow = F.regexp_extract("subpath", "(?:^|/)workflows/([^/]+)/", 1)
-    lines = _lines(spark, storage, "agent-*.jsonl", ANY_LINE_END, splits)
+    lines = _lines(spark, storage, glob, ANY_LINE_END, splits)
     text = rendered(files, lines, lambda v: event_line(v, include_sidechain=True))
     rows = files.withColumn("workflow", F.when(workflow != "", workflow)).withColumn("stem", F.regexp_replace("path", "\\.jsonl$", ""))
     return rows.join(sidecars(spark, storage), "stem", "left").drop("stem").join(text, "path")

@@ -8,7 +8,6 @@ from helpers import by, event, write_lines
 from pyspark.sql import functions as F
 
 from runlore.functions import text as T
-from runlore.functions.frontmatter import split
 from runlore.functions.redaction import BUILT_IN, KEPT_AROUND, redact, redact_built_in, replace
 from runlore.operators import artifacts, evaluate, lineage, outcomes, render
 from runlore.sources import conversations
@@ -64,11 +63,6 @@ def test_operator_rules_refuse(bad):
     assert operator_rules([{**RULE, "replace_group": "v"}])[0].group == "v"
 
 
-def test_frontmatter():
-    assert split("\n\n" + NOTE)[0]["name"] == "My Note" and split(NOTE)[1] == "body\n"
-    assert split("text\n---\na: 1\n---\n") == ({}, "text\n---\na: 1\n---\n") and split("---\n- 1\n---\nb") == ({}, "b") and split("---\na: 1") == ({}, "---\na: 1") and split(None) == ({}, "")
-
-
 def test_text(spark):
     rows = spark.createDataFrame([(" My_Odd Näme! ", "a/b c--", "a\nb\x0bc\r\nd\n")], "a string, b string, c string")
     r = rows.select(T.slug(F.col("a")).alias("a"), T.run_slug(F.col("b")).alias("b"), T.lines_of(F.col("c")).alias("c"), T.label(F.lit("/etc/x")).alias("d"), T.label(F.lit("x" * 300)).alias("e"), T.elide(F.lit("abcdefghij"), 4).alias("f"), T.basename(F.lit("/a/b/")).alias("g")).first()
