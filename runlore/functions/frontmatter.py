@@ -76,22 +76,30 @@ def frontmatter(text: Column) -> Column:
     descriptions that are no strings are null. Empty lines may come first; a text without an opened and closed block, or
     with a torn one, is all body; of a block that is no mapping nothing is known. A null text is an empty body."""
 
-    def of(text: Column) -> Column:
+    def cut(text: Column) -> Column:
         closed = text.rlike(_PARTS)
         return F.struct(text.alias("text"), F.when(closed, F.regexp_extract(text, _PARTS, 1)).alias("block"), F.when(closed, F.regexp_extract(text, _PARTS, 2)).alias("rest"))
 
+    def read(p: Column) -> Column:
+        block = p["block"]
+        keys = F.regexp_extract_all(block, F.lit("(?m)^( *[a-z_]+):"), 1)
+        plain = F.coalesce(block.rlike(_PLAIN) & ~block.rlike(_WORDS) & (F.size(F.array_distinct(keys)) == F.size(keys)), F.lit(False))
+        simple = F.struct(
+            _value(block, "name").alias("name"), _value(block, "description").alias("description"), _value(block, "type", "  ").alias("type"),
+            (F.size(keys) > 0).alias("has_meta"), block.rlike("(?m)^metadata:$").alias("has_metadata"), _as_json(block).alias("meta_json"),
+        )
+        row = F.when(plain, simple.cast(ROW))
+        return F.struct(p["text"].alias("text"), p["rest"].alias("rest"), row.alias("row"), F.when(~plain, block).alias("odd"))
+
+    def finish(x: Column) -> Column:
+        s = x["s"]
+        row = F.coalesce(s["row"], F.when(x["h"]["meta_json"].isNotNull(), x["h"].cast(ROW)))
+        fields = {"name": None, "description": None, "type": None, "has_meta": F.lit(False), "has_metadata": F.lit(False)}
+        given = [(row[c] if other is None else F.coalesce(row[c], other)).alias(c) for c, other in fields.items()]
+        body = F.when(row.isNotNull(), s["rest"]).otherwise(s["text"]).alias("body")
+        return F.struct(*given, body, F.coalesce(row["meta_json"], F.lit("{}")).alias("meta_json"))
+
     # A lambda's argument is computed once, however often it is used.
-    parts = F.transform(F.array(F.coalesce(text, F.lit(""))), of)[0]
-    block = parts["block"]
-    keys = F.regexp_extract_all(block, F.lit("(?m)^( *[a-z_]+):"), 1)
-    plain = F.coalesce(block.rlike(_PLAIN) & ~block.rlike(_WORDS) & (F.size(F.array_distinct(keys)) == F.size(keys)), F.lit(False))
-    simple = F.struct(
-        _value(block, "name").alias("name"), _value(block, "description").alias("description"), _value(block, "type", "  ").alias("type"),
-        (F.size(keys) > 0).alias("has_meta"), block.rlike("(?m)^metadata:$").alias("has_metadata"), _as_json(block).alias("meta_json"),
-    )
-    helped = _read(F.when(block.isNotNull() & ~plain, block))
-    row = F.when(plain, simple.cast(ROW)).when(helped["meta_json"].isNotNull(), helped.cast(ROW))
-    fields = {"name": None, "description": None, "type": None, "has_meta": F.lit(False), "has_metadata": F.lit(False)}
-    given = [(row[c] if x is None else F.coalesce(row[c], x)).alias(c) for c, x in fields.items()]
-    body = F.when(row.isNotNull(), parts["rest"]).otherwise(parts["text"]).alias("body")
-    return F.struct(*given, body, F.coalesce(row["meta_json"], F.lit("{}")).alias("meta_json"))
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    parts = once(once(F.coalesce(text, F.lit("")), cut), read)
+    return once(F.struct(parts.alias("s"), _read(parts["odd"]).alias("h")), finish)
