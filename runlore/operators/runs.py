@@ -105,6 +105,7 @@ def quoted(s: Column) -> Column:
 
 def not_ok_problem(name: Column, cause: Column, errors: Column) -> Column:
     """Why a draft is not usable, by its cause."""
+    # Readers of plans know these sentences.
     never = F.concat(F.lit("artifact "), quoted(name), F.lit(" was never drafted: "))
     broken = F.concat(never, F.lit("the drafting call tripped the circuit breaker (too many consecutive invalid drafts), so the model was never called — "), errors)
     endpoint = F.concat(never, F.lit("the drafting model endpoint failed after its retries, so no draft was produced and no format check ever ran — "), errors)
@@ -152,6 +153,7 @@ def assemble(plans: DataFrame, calls: DataFrame, extra: DataFrame, run_keys: lis
         F.when(blank(x["draft"]), say(F.lit("extra file "), quoted(x["relative_path"]), F.lit(" for artifact "), quoted(F.col("artifact_id")), F.lit(" recorded an empty draft"))),
         F.when(~x["ok"], not_ok_problem(F.concat(F.col("artifact_id"), F.lit(":"), x["relative_path"]), x["cause"], x["errors"])),
     )
+    # Readers of plans know these sentences.
     first = F.array(
         F.when(~promotes & F.col("named"), say(F.lit("action "), quoted(F.col("action")), F.lit(" carries artifact_id "), quoted(F.col("artifact_id")), F.lit(", but only ['promote_to_memory', 'promote_to_skill'] draft an artifact"))),
         F.when((F.col("action") == "prune") & ~named_target, F.lit("action 'prune' carries no usable `key_fields[\"target_path\"]`, so nothing identifies the file it proposes to remove — apply refuses such a candidate")),
