@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlore.llm.blobs import BlobWriter, open_blob
-from runlore.llm.common import new_dir, session_setup, written
+from runlore.llm.common import new_dir, scratch, session_setup, written
 
 #: Bytes of records in a frame, and of frames in a file.
 FRAME_BYTES = 1 << 20
@@ -39,8 +39,9 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"urn:page:{'none' if page_id is None else page_id}"
+def record_id(page_id: int | None, row: int) -> str:
+    """The name of a row's record: its page, which rows may share or lack, and the row's own number."""
+    return f"urn:page:{'none' if page_id is None else page_id}:{row}"
 
 
 def one_line(text: str | None) -> str:
@@ -48,13 +49,23 @@ def one_line(text: str | None) -> str:
     return re.sub(r"[\r\n]", lambda m: "%0D" if m[0] == "\r" else "%0A", text or "")
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def warc_record(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """A record of that name; a revisit where refers_to names the response that holds the payload."""
+    revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {one_line(url)}",
-        "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to)}>"] if revisit else []), f"Content-Length: {len(block)}",
-    ]
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: <{name}>",
+        f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {one_line(url)}",
+        "Content-Type: application/http; msgtype=response",
+        f"WARC-Payload-Digest: sha1:{digest}",
+    ]
+    if revisit:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{refers_to}>"]
+    head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -72,8 +83,8 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 
 def page_of(name: str) -> int | None:
-    last = name.strip("<>").rpartition(":")[2]
-    return None if last == "none" else int(last)
+    page = name.strip("<>").split(":")[2]
+    return None if page == "none" else int(page)
 
 
 class BundleWriter:
@@ -132,46 +143,59 @@ class BundleReader:
 
 
 def with_sources(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """pages with their digest and the page that holds each payload, null where the page is its own."""
-    digest = F.sha1(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha1", digest)
-    shared = rows.where((F.octet_length("html") >= least_bytes) if least_bytes >= 0 else F.lit(False))
-    holders = written(shared.groupBy("sha1").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n"), "holders")
-    return rows.join(holders, "sha1", "left").withColumn("revisit", F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")))
+    """page_id, url, html, sha1 of each row, its number, and holder: page_id and number of the row that holds the payload,
+    null where the row is a response itself. Rows are numbered once and written, so that all name a row alike."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    shared = rows.where((F.col("size") >= least_bytes) if least_bytes >= 0 else F.lit(False))
+    holders = shared.groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("holder"), F.count("*").alias("n"))
+    holders = written(holders.where("n > 1").drop("n"), "holders")
+    revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder.page_id"))
+    return rows.join(holders, "sha1", "left").withColumn("holder", F.when(revisit, F.col("holder"))).drop("size")
 
 
 def write_bundles(pages: DataFrame, out_dir: str, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write a WARC record for each row of pages (page_id, url, html) and the map of record ids, and return the map.
 
     Of records with equal payloads of least_bytes or more, that with the largest page_id is a response and the others
-    revisit it; rows that repeat the largest page_id are responses too. A null html is an empty payload; a null url an
-    empty one; a record longer than frame_bytes is a frame of its own; a null page_id is less than any other and its record id ends in none (a group of null ids alone: all
+    revisit it; rows that repeat the largest page_id are responses too, and revisits name the one of them with the largest
+    number. A record id holds the page_id and the row's number in the table, so rows that share a page_id, or have none,
+    have ids of their own. A null html is an empty payload; a null url an empty one; a record longer than frame_bytes is a
+    frame of its own; a null page_id is less than any other and reads none in the record id (a group of null ids alone: all
     responses). Line ends in urls are percent-encoded. Other columns are ignored. An empty table gives an empty map.
     """
     spark = pages.sparkSession
     session_setup(spark)
-    rows = with_sources(pages, least_bytes).select("page_id", "url", "html", "holder", "revisit", "sha1").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, file, files = None, "", 0
         for b in batches:
             made: list[list] = [[] for _ in INDEX.split(", ")]
-            for page_id, url, html, holder, revisit, sha1, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, number, url, html, holder, sha1, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bundle is None or bundle.out.size >= FILE_BYTES:
                     if bundle is not None:
                         bundle.close()
                     file, files = f"{out_dir}/warc/part-{part:06d}-{files:04d}.warc.zst", files + 1
                     bundle = BundleWriter(file, frame_bytes)
-                data = warc_record(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), holder, revisit)
+                name = record_id(page_id, number)
+                refers_to = None if holder is None else record_id(holder["page_id"], holder["row"])
+                data = warc_record(name, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to)
                 frame, offset = bundle.add(data)
-                for column, x in zip(made, (record_id(page_id), page_id, file, frame, offset, len(data), "revisit" if revisit else "response", holder if revisit else None), strict=True):
+                kind = "response" if holder is None else "revisit"
+                row = (name, page_id, file, frame, offset, len(data), kind, holder and holder["page_id"])
+                for column, x in zip(made, row, strict=True):
                     column.append(x)
             types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+            columns = [pa.array(c, t) for c, t in zip(made, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX.split(", ")])
         if bundle is not None:
             bundle.close()
 
-    rows.mapInArrow(run, INDEX).write.parquet(f"{out_dir}/map")
+    with scratch(spark):
+        rows = with_sources(pages, least_bytes).select("page_id", "row", "url", "html", "holder", "sha1")
+        rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, INDEX).write.parquet(f"{out_dir}/map")
     return read_map(spark, out_dir)
 
 

@@ -301,6 +301,25 @@ def test_bundles(spark, tmp_path):
     assert {r["record_type"] for r in warc.write_bundles(p, out + "3", least_bytes=5).where("page_id in (1, 2)").collect()} == {"response"}
 
 
+def test_record_ids_name_one_record(spark, tmp_path):
+    """Pages that share an id, or have none, with equal and other payloads: every id is one record's, and what a revisit
+    names is a response that holds its payload."""
+    pages = [(i, "u", h) for i in (None, 1, 1, 7, 7, 7) for h in ("a", "b", "a", f"own {i}")]
+    out = f"file://{tmp_path}/w"
+    index = warc.write_bundles(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), out, frame_bytes=2000).collect()
+    places = {r["record_id"]: r for r in index}
+    assert len(places) == len(index) == len(pages)
+    revisits = [r for r in index if r["record_type"] == "revisit"]
+    assert len(revisits) == 3 * 3  # of none, 1 and 1, the two "a" and the "b"; the own of 1 and 7 repeat one page
+    for r in revisits:
+        headers, _ = warc.read_record_at(r["file"], r["frame"], r["offset"])
+        named = places[headers["WARC-Refers-To"].strip("<>")]
+        other, block = warc.read_record_at(named["file"], named["frame"], named["offset"])
+        assert named["record_type"] == "response" and named["page_id"] == r["refers_to"] == 7
+        assert other["WARC-Payload-Digest"] == headers["WARC-Payload-Digest"] == f"sha1:{warc.digest_of(block.partition(b'\r\n\r\n')[2])}"
+    assert {r["page_id"] for r in warc.read_bundles(spark, out).collect()} == {None, 1, 7}
+
+
 # 6
 
 
