@@ -54,13 +54,22 @@ def session_transcripts(spark: SparkSession, storage: str, splits: bool | None =
     return files.join(rendered(files, lines, event_line), "path")
 
 
-def sidecars(spark: SparkSession, storage: str) -> DataFrame:
-    """stem, agent_type, depth, description, parent_agent from .meta.json files; each key is null on its own where it is
-    absent or of another type."""
-    files = _files(spark, storage, "*.meta.json")
+def sidecars_of(files: DataFrame) -> DataFrame:
+    """stem, agent_type, depth, description, parent_agent from files (path, value) of .meta.json; each key is null on its
+    own where it is absent or of another type, and all are null in a torn file."""
     v = F.try_parse_json("value")
     text = lambda k: F.when(V.as_str(V.get(v, k)) != "", V.as_str(V.get(v, k)))
-    return files.select(F.regexp_replace("path", "\\.meta\\.json$", "").alias("stem"), text("$.agentType").alias("agent_type"), V.as_int(V.get(v, "$.spawnDepth")).alias("depth"), text("$.description").alias("description"), text("$.parentAgentId").alias("parent_agent"))
+    return files.select(
+        F.regexp_replace("path", "\\.meta\\.json$", "").alias("stem"),
+        text("$.agentType").alias("agent_type"),
+        V.as_int(V.get(v, "$.spawnDepth")).alias("depth"),
+        text("$.description").alias("description"),
+        text("$.parentAgentId").alias("parent_agent"),
+    )
+
+
+def sidecars(spark: SparkSession, storage: str) -> DataFrame:
+    return sidecars_of(_files(spark, storage, "*.meta.json"))
 
 
 def subagent_transcripts(spark: SparkSession, storage: str, sessions: DataFrame, splits: bool | None = None, place: str = AGENT_PLACE, glob: str = "agent-*.jsonl") -> DataFrame:

@@ -147,7 +147,7 @@ def test_rollouts(spark, tmp_path):
 def test_artifact_checks(spark):
     files = spark.createDataFrame([("/m/memory/a.md", None, NOTE), ("/m/memory/MEMORY.md", None, "x"), ("/g/tool/SKILL.md", "global", "plain"), ("/x/y.txt", None, "")], "path string, scope string, text string")
     index = artifacts.artifact_index(files).withColumn("c", F.lit("c"))
-    assert {(r["kind"], r["scope"], r["name"]) for r in index.collect()} == {("memory", "project", "My Note"), ("index", "project", "MEMORY"), ("skill", "global", "tool")}
+    assert {(r["kind"], r["scope"], r["name"]) for r in index.collect()} == {("memory", "project", "My Note"), ("index", "project", "MEMORY.md"), ("skill", "global", "tool")}
     drafts = spark.createDataFrame([(0, "c", NOTE, "user"), (1, "c", NOTE.replace("My Note", "New"), "project"), (2, "c", " ", None), (3, "c", "plain", None), (4, "c", NOTE.replace("My Note", "New"), None)], "i int, c string, text string, requested_type string")
     out = by(artifacts.check_memory_drafts(drafts, index, ["c"]), "i")
     assert [len(out[i]["errors"]) for i in range(5)] == [1, 1, 1, 1, 0]
@@ -215,9 +215,9 @@ def test_files(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
     index = read_artifacts(spark, f"file://{tmp_path}/memory", f"file://{tmp_path}/skills")
-    assert [(r["kind"], r["scope"], r["name"]) for r in index.orderBy("position").collect()] == [("index", "project", "MEMORY"), ("memory", "project", "My Note"), ("skill", "global", "S")]
+    assert [(r["kind"], r["scope"], r["name"]) for r in index.orderBy("position").collect()] == [("memory", "project", "My Note"), ("index", "project", "MEMORY.md"), ("skill", "global", "S")]
     lines = render.index_lines(index.withColumn("c", F.lit(1)), ["c"]).first()["text"].split("\n")
-    assert len(lines) == 3 and lines[0].startswith("- [index] MEMORY: (no description) (file:") and lines[1].startswith("- [memory] My Note: d (")
+    assert len(lines) == 3 and lines[0].startswith("- [memory] My Note: d (file:") and lines[1].startswith("- [index] MEMORY.md: The memory index this harness maintains over the memory files. (")
     good = write_lines(tmp_path, "t.json", ['{"tasks": [{"id": "a", "reference": "x"}, {"id": "b", "project": {}}]}'])
     assert [tuple(r) for r in read_taskset(spark, good).select("id", "reference").orderBy("id").collect()] == [("a", "x"), ("b", "")]
     for bad in ('[{"id": "a"}, {"id": "a"}]', '[{"id": ""}]', '[{"id": "a", "project": 3}]', '{"x": 1}'):
