@@ -111,6 +111,15 @@ def payloads_of(records: list[bytes], where: str) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write bytes as: a printable byte is its own, and the others get those from
+    256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = sorted(set(range(256)).difference(own))
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class LibraryModel:
     """The tokenizers library's own model of a vocabulary, applied to pieces: its splitting is the same for any text, and
     several times the cost of looking pieces up, so each distinct piece goes to the library once."""
@@ -120,7 +129,9 @@ class LibraryModel:
 
         self.whole, self.kind = Tokenizer.from_file(path), kind
         self.model, self.before = self.whole.model, self.whole.pre_tokenizer
-        plain = type(self.before).__name__ == "ByteLevel" and self.whole.normalizer is None
+        byte_level = type(self.before).__name__ == "ByteLevel" and self.before.use_regex and not self.before.add_prefix_space
+        plain = byte_level and self.whole.normalizer is None
+        self.width, self.letters = np.dtype(kind).itemsize, _byte_letters()
         self.pieces = Pieces(SPLIT, self.piece_ids).encode if plain else self.whole_ids
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
@@ -129,8 +140,9 @@ class LibraryModel:
         return self.whole_ids(text) if any(a in text for a in self.added) else self.pieces(text)
 
     def piece_ids(self, piece: str) -> bytes:
-        parts = self.before.pre_tokenize_str(piece)
-        return np.array([t.id for part, _ in parts for t in self.model.tokenize(part)], self.kind).tobytes()
+        # A piece is not split again, so its bytes only need to be written as the vocabulary's letters.
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(letters)])
 
     def whole_ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()

@@ -271,6 +271,19 @@ def test_strings_of_added_tokens():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_of_all_bytes():
+    """Every byte that UTF-8 texts can have, alone and beside others, as the library itself encodes it."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    letters = [chr(i) for i in (*range(0x800), *range(0x800, 0xD800, 97), *range(0xE000, 0x110000, 4111))]
+    texts = [*letters, "".join(letters), " ".join(letters), "a".join(letters), "  \n \t x\u00a0 y\r\n\r\n  ", "it's we'LL 12 345  ---!? "]
+    for kind in ("<u2", "<u4"):
+        own = token_files.LibraryModel(path, kind)
+        assert all(np.frombuffer(own.encode(t), kind).tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_token_files_empty(none, spark, tmp_path):
     assert token_files.write_token_files(none, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json")).count() == 0
     assert token_files.read_token_files(spark, f"file://{tmp_path}/t").count() == 0
