@@ -12,7 +12,7 @@ from runlore.functions import variants as V
 from runlore.functions.text import ANY_LINE_END, PLAIN_LINE_END
 from runlore.operators.render import event_line, identified, joined_lines, rollout_line
 from runlore.sources.jsonl import parsed
-from runlore.sources.numbered import read_lines
+from runlore.sources.numbered import lines_in, read_lines
 
 #: Lines of a rollout in which its session_meta is looked for.
 META_LINES = 50
@@ -40,18 +40,28 @@ def _listed(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame
 
 
 def rendered(files: DataFrame, lines: DataFrame, line) -> DataFrame:
-    """path, text of every one of files; empty where it has no line that shows."""
+    """files (path and others) with text; empty where a file has no line that shows."""
     text = joined_lines(lines.withColumn("shown", line(F.col("v"))), ["path"], "line_no", "shown")
-    return files.select("path").join(text, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return files.join(text, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def session_transcripts(spark: SparkSession, storage: str, splits: bool | None = None, place: str = SESSION_PLACE, glob: str = "*.jsonl") -> DataFrame:
     """path, project, session, text of every <storage>/<project>/<session>.jsonl; deeper files are not sessions. splits:
     as for read_lines. place, glob: where files are, if not there."""
+    return _sessions(_listed(spark, storage, glob), _lines(spark, storage, glob, ANY_LINE_END, splits), place)
+
+
+def packed_sessions(files: DataFrame, place: str = SESSION_PLACE) -> DataFrame:
+    """session_transcripts of a store that is a table of files (path, value). Very many small files are kept so, as to list
+    and open each of them takes longer than to read its lines."""
+    files = files.where(F.regexp_extract("path", place, 2) != "")
+    return _sessions(files, parsed(lines_in(files)), place)
+
+
+def _sessions(files: DataFrame, lines: DataFrame, place: str) -> DataFrame:
     part = lambda i: F.regexp_extract("path", place, i)
-    files = _listed(spark, storage, glob).select("path", part(1).alias("project"), part(2).alias("session")).where("session <> ''")
-    lines = _lines(spark, storage, glob, ANY_LINE_END, splits).where(part(2) != "")
-    return files.join(rendered(files, lines, event_line), "path")
+    found = files.select("path", part(1).alias("project"), part(2).alias("session")).where("session <> ''")
+    return rendered(found, lines.where(part(2) != ""), event_line)
 
 
 def sidecars_of(files: DataFrame) -> DataFrame:
@@ -75,14 +85,23 @@ def sidecars(spark: SparkSession, storage: str) -> DataFrame:
 def subagent_transcripts(spark: SparkSession, storage: str, sessions: DataFrame, splits: bool | None = None, place: str = AGENT_PLACE, glob: str = "agent-*.jsonl") -> DataFrame:
     """path, project, session, id, subpath, workflow, agent_type, depth, description, parent_agent, text of every
     agent-*.jsonl below a session that is present."""
+    lines = _lines(spark, storage, glob, ANY_LINE_END, splits)
+    return _subagents(_listed(spark, storage, glob), lines, sessions, sidecars(spark, storage), place)
+
+
+def packed_subagents(files: DataFrame, sessions: DataFrame, place: str = AGENT_PLACE) -> DataFrame:
+    """subagent_transcripts of a store that is a table of files (path, value), sidecars among them."""
+    own = files.where(F.regexp_extract("path", place, 2) != "")
+    return _subagents(own, parsed(lines_in(own)), sessions, sidecars_of(files.where(F.col("path").endswith(".meta.json"))), place)
+
+
+def _subagents(files: DataFrame, lines: DataFrame, sessions: DataFrame, beside: DataFrame, place: str) -> DataFrame:
     part = lambda i: F.regexp_extract("path", place, i)
-    files = _listed(spark, storage, glob).select("path", part(1).alias("project"), part(2).alias("session"), part(3).alias("subpath"), part(4).alias("id")).where("session <> ''")
-    files = files.join(sessions.select("project", "session").distinct(), ["project", "session"], "left_semi")
+    found = files.select("path", part(1).alias("project"), part(2).alias("session"), part(3).alias("subpath"), part(4).alias("id")).where("session <> ''")
+    found = found.join(sessions.select("project", "session").distinct(), ["project", "session"], "left_semi")
     workflow = F.regexp_extract("subpath", "(?:^|/)workflows/([^/]+)/", 1)
-    lines = _lines(spark, storage, glob, ANY_LINE_END, splits)
-    text = rendered(files, lines, lambda v: event_line(v, include_sidechain=True))
-    rows = files.withColumn("workflow", F.when(workflow != "", workflow)).withColumn("stem", F.regexp_replace("path", "\\.jsonl$", ""))
-    return rows.join(sidecars(spark, storage), "stem", "left").drop("stem").join(text, "path")
+    rows = found.withColumn("workflow", F.when(workflow != "", workflow)).withColumn("stem", F.regexp_replace("path", "\\.jsonl$", ""))
+    return rendered(rows.join(beside, "stem", "left").drop("stem"), lines, lambda v: event_line(v, include_sidechain=True))
 
 
 def corpora(spark: SparkSession, storage: str, include_subagents: bool = False) -> DataFrame:
@@ -150,4 +169,4 @@ def rollouts(spark: SparkSession, storage: str, projects: DataFrame | None = Non
     lines = _lines(spark, storage, glob, PLAIN_LINE_END, splits)
     if projects is not None:
         lines = lines.join(known.select("path"), "path", "left_semi")
-    return known.join(rendered(known, lines, rollout_line), "path").select("path", "cwd", "text")
+    return rendered(known, lines, rollout_line).select("path", "cwd", "text")

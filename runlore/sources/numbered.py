@@ -68,6 +68,11 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_
 def whole_lines(spark: SparkSession, paths: str | list[str], ends: str = ANY_LINE_END, recursive: bool = False, glob: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """The same for small files: a file is one row until it is cut, so one pass is enough."""
     files = _reader(spark, recursive, glob, options).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines_in(files, ends)
+
+
+def lines_in(files: DataFrame, ends: str = ANY_LINE_END) -> DataFrame:
+    """path, line_no (from 0), line of small files that are rows (path, value)."""
     return files.select("path", F.posexplode(lines_of(F.col("value"), ends)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
