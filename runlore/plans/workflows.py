@@ -61,7 +61,7 @@ def score_runs(events: DataFrame, transcripts: DataFrame, corpus: str | None, ta
     plans = plans.withColumn("corpus", F.lit(corpus)) if corpus is not None else plans.join(meta.select(*run_keys, project.alias("corpus")), run_keys, "left")
     asked = evaluate.prompts(plans, evaluate.excerpts(transcripts, ["corpus"]), ["corpus"], tasks, run_keys)
     facts = meta.select(*run_keys, V.as_int(V.get(F.col("meta"), "$.transcripts")).alias("n_transcripts"), *(c.alias(n) for n, c in timeline.composition(F.col("meta")).items()))
-    return evaluate.score_rows(evaluate.parse_replies(evaluate.judged(asked, judge)), facts, run_keys)
+    return evaluate.score_rows(evaluate.parse_replies(evaluate.judged(asked, judge, keep_prompt=False)), facts, run_keys)
 
 
 @query(TRACE_SQL + "SELECT 'events' AS path, run_id FROM runs")
