@@ -10,6 +10,8 @@ PREVIEW_MARK, LABEL_MARK = "\n…[truncated — full text in the trace]", "…"
 #: What str.splitlines() ends a line at; the last line's end begins no other line.
 ANY_LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 PLAIN_LINE_END = "\\r\\n|\\r|\\n"
+#: The characters that (?U)\s matches.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def lines_of(text: Column, ends: str = ANY_LINE_END) -> Column:
@@ -20,14 +22,15 @@ def lines_of(text: Column, ends: str = ANY_LINE_END) -> Column:
 
 def slug(name: Column) -> Column:
     """An artifact's file name: lower case, blanks to hyphens, all else but a-z, 0-9 and - dropped; never cut."""
-    lower = F.lower(F.regexp_replace(name, "(?U)^\\s+|\\s+$", ""))
-    return F.regexp_replace(F.regexp_replace(lower, "(?U)[\\s_]+", "-"), "[^a-z0-9-]", "")
+    lower = F.btrim(F.lower(name), F.lit(WHITE_SPACE))
+    # \w is [a-z0-9] here, as no A-Z or _ is left; a class of ranges and single characters is slow where tasks share a JVM
+    return F.regexp_replace(F.regexp_replace(lower, "(?U)[\\s_]+", "-"), "[^\\w-]", "")
 
 
 def run_slug(run_id: Column, most: int = 120, fallback: str | None = None) -> Column:
     """A run id as a file name: other characters folded to -, no - or . at the ends, cut; fallback for nothing left."""
-    out = F.regexp_replace(F.regexp_replace(run_id, "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+$", "")
-    out = F.regexp_replace(F.substring(out, 1, most), "[-.]+$", "")
+    out = F.ltrim(F.regexp_replace(run_id, "[^\\w.-]+", "-"), F.lit("-."))
+    out = F.rtrim(F.substring(out, 1, most), F.lit("-."))
     return out if fallback is None else F.when(F.coalesce(out, F.lit("")) == "", F.lit(fallback)).otherwise(out)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from helpers import by, event, write_lines
@@ -70,6 +71,53 @@ def test_text(spark):
     assert r["f"] == "ab\n... (6 characters omitted) ...\nij" and r["g"] == "b"
 
 
+def test_slugs_equal_the_rule(spark):
+    """Against the rule in Python: texts of odd characters, any white space, ends of - and ., cuts within runs."""
+    pick = random.Random(11)
+    odd = [*"aZ09_-.!", *T.WHITE_SPACE, "\x1c", "\x00", "\u00e4", "\u0130", "\u212a", "\u03a3", "\u200b", "\ufeff", "\U0001d400", "  ", "__", "--", "..", " _ "]
+    texts = ["", " ", "_", " _ ", " _a_ ", "-.", "x\n", "\n", *("".join(pick.choices(odd, k=pick.randint(1, 30))) for _ in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", T.slug(F.col("s")).alias("slug"), *(T.run_slug(F.col("s"), n).alias(f"r{n}") for n in (3, 7, 120)))
+    space = f"[{re.escape(T.WHITE_SPACE)}]"
+    assert [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F] == sorted(T.WHITE_SPACE)
+    for i, row in by(rows, "i").items():
+        s = texts[i]
+        assert row["slug"] == re.sub("[^a-z0-9-]", "", re.sub(f"({space}|_)+", "-", s.strip(T.WHITE_SPACE).lower())), repr(s)
+        whole = re.sub("[^A-Za-z0-9._-]+", "-", s).strip("-.")
+        assert all(row[f"r{n}"] == whole[:n].rstrip("-.") for n in (3, 7, 120)), repr(s)
+
+
+def test_slugs_of_long_runs_take_linear_time(spark):
+    """A long run of blanks, hyphens or dots within a text was gone through again from each of its characters."""
+    for n in (10, 100_000):  # the first is a warm-up
+        rows = spark.createDataFrame([("x" + " " * n + "y", "x" + "-." * (n // 2) + "y")], "a string, b string")
+        began = time.time()
+        r = rows.select(T.slug(F.col("a")).alias("a"), T.run_slug(F.col("b"), 120_000).alias("b")).first()
+        took = time.time() - began
+        assert r["a"] == "x-y" and r["b"] == "x" + "-." * (n // 2) + "y"
+    assert took < 5
+
+
+def test_slugs_do_not_slow_tasks_beside_them(spark):
+    """Slugs cost a few times a plain fold of white space when tasks share a JVM; 20 and more times with classes of ranges and characters."""
+    text = F.repeat(F.lit("Some words, of a text; with_marks and 12 numbers\n"), 400)
+    rows = spark.range(0, 1600, 1, 4).select(F.concat(F.col("id").cast("string"), text).alias("s")).cache()
+
+    def took(c):
+        def once():
+            began = time.time()
+            rows.select(c.alias("c")).write.format("noop").mode("overwrite").save()
+            return time.time() - began
+
+        return min(once() for _ in range(3))
+
+    try:
+        rows.count()
+        plain = took(F.regexp_replace("s", "(?U)[\\s_]+", "-"))
+        assert took(F.concat(T.slug(F.col("s")), T.run_slug(F.col("s"), 40))) < 8 * plain
+    finally:
+        rows.unpersist()
+
+
 def test_budgets_equal_the_fold(spark):
     """Against a fold over each corpus: no, many and long entries, those that just fit, and a rest that many could take."""
     pick = random.Random(7)
